@@ -5,9 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from umbra.llm.decontamination import leaks
 from umbra.llm.minhash import near_duplicates
+from umbra.llm.mixing import mix_sources
 from umbra.llm.substring_dedup import substring_dedup
+from umbra.llm.toxicity import fit_rows, score_toxicity, train_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +26,22 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = mix_sources(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "source", "lang", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"), F.round("mix_probability", 6).alias("probability"))
+
+
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    learn = fit_rows("doc_id", 3, 1)
+    scored = score_toxicity(docs, train_toxicity(docs, _table(spark, sf_dir, "labels"), learn))
+    return scored.select("doc_id", (~learn).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
+
+
 OP2_SQL = r"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
@@ -67,9 +87,43 @@ FROM documents d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
 
+_CELL = """
+t AS (
+  SELECT *, coalesce(source, '') AS s, coalesce(lang, '') AS l,
+         CASE WHEN lower(text) LIKE '%licen%' OR lower(text) LIKE '%copyright%' OR lower(text) LIKE '%rights reserved%' THEN 'legal'
+              WHEN lower(text) LIKE '%@%' OR lower(text) LIKE '%phone%' THEN 'contact' ELSE 'general' END AS topic,
+         coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS n_tokens
+  FROM documents),
+r0 AS (SELECT s, l, topic, sum(n_tokens)::DOUBLE AS tok, 1.0::DOUBLE AS w FROM t GROUP BY ALL),
+m AS (SELECT *, pow(sum(tok) OVER (PARTITION BY s), 0.7) AS ts, pow(sum(tok) OVER (PARTITION BY l), 0.7) AS tl,
+             pow(sum(tok) OVER (PARTITION BY topic), 0.7) AS tt FROM r0)"""
+
+
+def _op5_sql() -> str:
+    steps, last = [], "m"
+    for k in range(8):
+        for margin, target in (("s", "ts"), ("l", "tl"), ("topic", "tt")):
+            name = f"{margin[0]}{k}x"
+            have = f"sum(tok * w) OVER (PARTITION BY {margin})"
+            steps.append(f"{name} AS (SELECT s, l, topic, tok, ts, tl, tt, CASE WHEN {have} > 0 THEN w * {target} / {have} ELSE w END AS w FROM {last})")
+            last = name
+    return f"""
+WITH {_CELL}, {", ".join(steps)},
+sorted AS (
+  SELECT *, coalesce(sum(tok) OVER (ORDER BY w DESC, s, l, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above,
+         sum(tok * w) OVER (ORDER BY w DESC, s, l, topic ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS below
+  FROM {last} WHERE tok > 0),
+c AS (SELECT max((0.8 * (SELECT sum(tok) FROM m) - above) / below) FILTER (WHERE (0.8 * (SELECT sum(tok) FROM m) - above) / below * w <= 1) AS c FROM sorted)
+SELECT t.doc_id, t.source, t.lang, t.topic, t.n_tokens, round(least(1.0, x.w * c.c), 6) AS probability
+FROM t JOIN {last} x ON x.s = t.s AND x.l = t.l AND x.topic = t.topic, c
+WHERE ('0x' || substr(md5(coalesce(t.doc_id::VARCHAR, '') || 'mix'), 1, 13))::BIGINT / 4503599627370496.0 < least(1.0, x.w * c.c)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op3_minhash_near_dedup)}
+    every = (op2_substring_dedup, op3_minhash_near_dedup, op5_source_mixing, op9_benchmark_decontamination, op10_toxicity)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": OP2_SQL, "op3_minhash_near_dedup": OP3_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op3_minhash_near_dedup": OP3_SQL, "op5_source_mixing": _op5_sql()}

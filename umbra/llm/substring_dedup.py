@@ -119,7 +119,7 @@ def _answer(table):
     return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "bits": pa.array(bits, pa.binary())})
 
 
-def _clean(width: int, bits: int, full: bool):
+def _clean(width: int, bits: int, full: bool, carry: list[str]):
     def clean(key, docs, answers):
         b = _Block(docs, width, bits)
         said = dict(zip(answers.column("bucket").to_pylist(), answers.column("bits").to_pylist()))
@@ -158,6 +158,7 @@ def _clean(width: int, bits: int, full: bool):
         if full:
             null = b.table.column("text").combine_chunks().is_null().to_pylist()
             out["kept_text"] = pa.array([None if z else t for t, z in zip(texts, null)], pa.string())
+            out |= {c: b.table.column(c) for c in carry}
             out["removed"] = pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
         return pa.table(out)
 
@@ -190,16 +191,23 @@ def _kept_text(raw: np.ndarray, off: np.ndarray, w: Words, gone: np.ndarray, k:
     return "\n".join(text[w.starts[s + x] - off[k] : w.ends[s + y - 1] - off[k]].tobytes().decode("utf-8", "replace") for x, y in change)
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, full: bool = True) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, full: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: ``id_col``, ``n_words``, ``n_removed``, ``kept_sha256`` (kept words
-    joined by one space) and, if ``full``, ``kept_text`` and ``removed`` (word spans, end exclusive)."""
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    joined by one space) and, if ``full``, ``kept_text``, the columns named in ``carry``, and ``removed``
+    (word spans, end exclusive)."""
+    kept = [f"carried_{k}" for k in range(len(carry))]
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(k) for c, k in zip(carry, kept)))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, 2 * own.sparkSession.sparkContext.defaultParallelism if size > BLOCK_TEXT else 1, math.ceil(size / BLOCK_TEXT))
     bits = max(6, math.ceil(math.log2(max(1, size / 6 / BUCKET_WORDS))))
     own = own.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)))
     sent = own.groupBy("block").applyInArrow(_send(width, bits), "bucket long, block long, ids binary, counts binary, hashes binary")
     answers = sent.groupBy("bucket").applyInArrow(_answer, "block long, bucket long, bits binary")
-    schema = "id long, n_words long, n_removed long, kept_sha256 string" + f", kept_text string, removed {_SPAN}" * full
-    out = own.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_clean(width, bits, full), schema)
-    return out.withColumnRenamed("id", id_col)
+    schema = "id long, n_words long, n_removed long, kept_sha256 string"
+    if full:
+        kinds = dict(own.dtypes)
+        schema += ", kept_text string" + "".join(f", {k} {kinds[k]}" for k in kept) + f", removed {_SPAN}"
+    out = own.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_clean(width, bits, full, kept), schema)
+    for c, k in (*zip(carry, kept), (id_col, "id")):
+        out = out.withColumnRenamed(k, c)
+    return out
