@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from umbra.llm import transport
+from umbra.llm.chat import format_chats
 from umbra.llm.decontamination import leaks
+from umbra.llm.licenses import scan_licenses
 from umbra.llm.minhash import near_duplicates
 from umbra.llm.mixing import mix_sources
 from umbra.llm.substring_dedup import substring_dedup
@@ -18,6 +21,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"), full=False)
 
@@ -31,6 +38,16 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "source", "lang", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"), F.round("mix_probability", 6).alias("probability"))
 
 
+def op7_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = transport.store(_table(spark, sf_dir, "documents"))
+    columns = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return transport.read(stored).select(*columns)
+
+
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(_table(spark, sf_dir, "conversations"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -87,6 +104,17 @@ FROM documents d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
 
+OP8_SQL = """
+WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+d AS (SELECT *, sha256(role || chr(31) || text) AS d FROM t),
+p AS (SELECT *, string_agg(d, '') OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, d ROWS UNBOUNDED PRECEDING) AS prefix,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, d) AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM d),
+whole AS (SELECT prefix, min(conv_id) AS conv_id, max(n) AS n_turns FROM p WHERE k = n GROUP BY prefix),
+kept AS (SELECT * FROM whole WHERE prefix NOT IN (SELECT prefix FROM p WHERE k < n))
+SELECT p.conv_id, kept.n_turns::INTEGER AS n_turns, string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '' ORDER BY k) AS chat
+FROM p JOIN kept USING (conv_id) GROUP BY p.conv_id, kept.n_turns
+"""
+
 _CELL = """
 t AS (
   SELECT *, coalesce(source, '') AS s, coalesce(lang, '') AS l,
@@ -121,9 +149,18 @@ WHERE ('0x' || substr(md5(coalesce(t.doc_id::VARCHAR, '') || 'mix'), 1, 13))::BI
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op2_substring_dedup, op3_minhash_near_dedup, op5_source_mixing, op9_benchmark_decontamination, op10_toxicity)
+    every = (
+        op1_license_scan,
+        op2_substring_dedup,
+        op3_minhash_near_dedup,
+        op5_source_mixing,
+        op7_transport_streams,
+        op8_chat_formatting,
+        op9_benchmark_decontamination,
+        op10_toxicity,
+    )
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": OP2_SQL, "op3_minhash_near_dedup": OP3_SQL, "op5_source_mixing": _op5_sql()}
+    return {"op2_substring_dedup": OP2_SQL, "op3_minhash_near_dedup": OP3_SQL, "op5_source_mixing": _op5_sql(), "op8_chat_formatting": OP8_SQL}
