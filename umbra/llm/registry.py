@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from umbra.llm import transport
 from umbra.llm.chat import format_chats
 from umbra.llm.decontamination import leaks
+from umbra.llm.langid import identify_languages, train_languages
 from umbra.llm.licenses import scan_licenses
 from umbra.llm.minhash import near_duplicates
 from umbra.llm.mixing import mix_sources
+from umbra.llm.quality import score_quality
 from umbra.llm.substring_dedup import substring_dedup
 from umbra.llm.toxicity import fit_rows, score_toxicity, train_toxicity
 
@@ -33,11 +35,23 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learn = fit_rows("doc_id", 5, 0)
+    scored = score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), learn)
+    return scored.select("doc_id", (~learn).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = mix_sources(_table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "source", "lang", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"), F.round("mix_probability", 6).alias("probability"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    learn = fit_rows("doc_id", 5, 0)
+    return identify_languages(docs, train_languages(docs, learn)).select("doc_id", (~learn).alias("held_out"), "lang_pred", "score")
+
+
 def op7_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = transport.store(_table(spark, sf_dir, "documents"))
     columns = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
@@ -153,7 +167,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op1_license_scan,
         op2_substring_dedup,
         op3_minhash_near_dedup,
+        op4_quality_rules,
         op5_source_mixing,
+        op6_language_id,
         op7_transport_streams,
         op8_chat_formatting,
         op9_benchmark_decontamination,
