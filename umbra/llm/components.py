@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.storage import written
+from umbra.sources.scratch import written
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -33,14 +33,15 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """``(node, component)`` for each node of an edge; ``component`` is the smallest node reachable."""
-    now = written(edges.select(F.col(u).alias("u"), F.col(v).alias("v")).filter("u <> v").distinct(), "edges")
-    state = None
+    now = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).filter("u <> v").distinct()
     while True:
         now = written(_small_star(_large_star(now)), "star")
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == state or not seen[0]:
+        # done when all edges point to centres: no node has two, and no centre points on
+        ends = now.groupBy("u").agg(F.count("*").alias("out"), F.lit(0).alias("into"))
+        ends = ends.unionAll(now.select(F.col("v").alias("u"), F.lit(0).alias("out"), F.lit(1).alias("into")).distinct())
+        odd = ends.groupBy("u").agg(F.sum("out").alias("out"), F.sum("into").alias("into")).filter("out > 1 or (out > 0 and into > 0)")
+        if odd.isEmpty():
             break
-        state = seen
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

@@ -11,12 +11,16 @@ pair under the threshold meets in some index entry.  At a similarity of exactly
 Links are then confirmed on the full shingle sets.  No entry's pairs are listed:
 
 1. documents with equal sets are one class, represented by its smallest id;
-2. in each entry every representative is tried with the entry's smallest one,
-   and confirmed links give first components;
-3. only entries that still span several components are searched further: their
-   members are compared by signature in blocks, across components only, and the
-   pairs within the threshold are confirmed.  A pair inside one component needs
-   no trial, as it can't change the result.
+2. in each entry every representative is tried with the entry's smallest one;
+   pairs within the threshold give first families.  Only entries that still span
+   several families are searched further, by signature and in blocks, and each
+   block reports no more pairs than join its families.  The result: families
+   such that no pair within the threshold lies across two of them;
+3. the shingle sets of a family's members meet once, in blocks of ``COMPARE``;
+   families of several blocks also meet block by block, across components only.
+   A block compares the members that are outside its largest component with all
+   others, exactly, and reports the links that join components.  A pair inside
+   one component needs no trial, as it can't change the result.
 
 Cases: null and blank texts have no shingles and no links (``component_id`` is
 their own id); fewer words than a shingle make one shingle; rows that repeat an
@@ -32,10 +36,10 @@ from pyspark.sql import functions as F
 
 from umbra.llm.components import components
 from umbra.llm.kernels import Words, blocks, mix, utf8, window_hashes, window_starts
-from umbra.llm.storage import written
+from umbra.sources.scratch import written
 
 FIELDS, CHUNK, THRESHOLD = 40, 4, 19
-COMPARE = 2048
+COMPARE = 2048  # members of a block
 _SEEDS = mix(np.arange(1, FIELDS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
 _SHIFTS = mix(np.arange(1, FIELDS + 1, dtype=np.uint64) * np.uint64(0xE7037ED1A0B428DB))
 
@@ -121,63 +125,96 @@ def _shingle_sets(width: int):
                 # 48 bits of a hash tell apart the shingles of two documents
                 six = (h >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
                 ends = np.cumsum(n)
-                yield pa.record_batch({"id": batch.column(0)[lo:hi], "shingles": pa.array([six[a:b].tobytes() for a, b in zip(ends - n, ends)], pa.binary())})
+                sets = pa.array([six[a:b].tobytes() for a, b in zip(ends - n, ends)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(2)[lo:hi], sets], names=["id", "family", "shingles"])
 
     return run
 
 
-def _unpack(data: bytes) -> np.ndarray:
-    wide = np.zeros((len(data) // 6, 8), np.uint8)
-    wide[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return wide.view("<u8").ravel()
+def _postings(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of packed sets: sizes, start of each, shingle numbers, and for each number its owners (start, owner)."""
+    sets = column.to_pylist()
+    size = np.array([len(x) // 6 for x in sets], np.int64)
+    wide = np.zeros((int(size.sum()), 8), np.uint8)
+    wide[:, :6] = np.frombuffer(b"".join(sets), np.uint8).reshape(-1, 6)
+    _, number = np.unique(wide.view("<u8").ravel(), return_inverse=True)
+    owner = np.repeat(np.arange(size.size), size)[np.argsort(number, kind="stable")]
+    start = np.concatenate(([0], np.cumsum(np.bincount(number)))) if number.size else np.zeros(1, np.int64)
+    return size, np.cumsum(size) - size, number, start, owner
 
 
-def _confirm(percent: int):
-    def run(batches):
-        for batch in batches:
-            a_ids, b_ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            keep = np.zeros(len(a_ids), bool)
-            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-                x, y = _unpack(x.as_py()), _unpack(y.as_py())
-                both = np.concatenate((x, y))
-                both.sort()
-                same = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep[k] = 100 * same >= percent * (x.size + y.size - same)
-            yield pa.record_batch({"u": pa.array(a_ids[keep]), "v": pa.array(b_ids[keep])})
+def _link(percent: int):
+    """Exact links that join components, among the members of one block (side 2) or across two (sides 0 and 1)."""
+
+    def run(table):
+        ids, side = table.column("id").to_numpy(), table.column("side").to_numpy()
+        label = np.unique(table.column("comp").to_numpy(), return_inverse=True)[1]
+        size, at, number, start, owner = _postings(table.column("shingles").combine_chunks())
+        u, v = [], []
+        if np.unique(label).size > 1:
+            common = np.concatenate(([0], np.cumsum(np.diff(start)[number])))
+            middle = int((common[at + size] - common[at]).argmax())
+            kinds, many = np.unique(label, return_counts=True)
+            base = middle if many.max() == 1 else int(np.flatnonzero(label == kinds[many.argmax()])[0])
+            # what is joined to the base needs no trials of its own: others try it
+            for i in [base, *range(len(ids))]:
+                if i != base and label[i] == label[base]:
+                    continue
+                mine = number[at[i] : at[i] + size[i]]
+                n = start[mine + 1] - start[mine]
+                both = np.bincount(owner[np.arange(int(n.sum())) + np.repeat(start[mine] - (np.cumsum(n) - n), n)], minlength=len(ids))
+                link = 100 * both >= percent * (size + size[i] - both)
+                link &= label != label[i]
+                if side[i] != 2:
+                    link &= side != side[i]
+                for k in np.unique(label[link]):
+                    j = int(np.flatnonzero(link & (label == k))[0])
+                    u.append(min(ids[i], ids[j]))
+                    v.append(max(ids[i], ids[j]))
+                    label[label == k] = label[i]
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return run
 
 
 def _across(threshold: int):
-    """Pairs of a block of members within the threshold and of different components."""
+    """Pairs within the threshold that join families, among the members of one block or across two."""
 
     def run(table):
         sig = _fields(table.column("sig").combine_chunks())
-        ids, comp = table.column("id").to_numpy(), table.column("comp").to_numpy()
-        side = table.column("side").to_numpy()
-        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        kinds, many = np.unique(comp, return_counts=True)
-        most = kinds[many.argmax()]
+        ids, side = table.column("id").to_numpy(), table.column("side").to_numpy()
+        label = np.unique(table.column("comp").to_numpy(), return_inverse=True)[1]
+        kinds, many = np.unique(label, return_counts=True)
+        base = int(np.flatnonzero(label == kinds[many.argmax()])[0])
         u, v = [], []
-        for i in left:
-            # rows of the largest component are met from the other side when both sides are one block
-            if side[i] == 2 and comp[i] == most:
+        for i in range(len(ids)):
+            if label[i] == label[base]:
                 continue
-            far = (sig[right] != sig[i]).sum(1)
-            j = right[(far <= threshold) & (comp[right] != comp[i])]
-            u.append(np.full(j.size, ids[i]))
-            v.append(ids[j])
-        u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (u, v))
-        return pa.table({"u": pa.array(np.minimum(u, v), pa.int64()), "v": pa.array(np.maximum(u, v), pa.int64())})
+            near = (sig != sig[i]).sum(1) <= threshold
+            near &= label != label[i]
+            if side[i] != 2:
+                near &= side != side[i]
+            for k in np.unique(label[near]):
+                j = int(np.flatnonzero(near & (label == k))[0])
+                u.append(min(ids[i], ids[j]))
+                v.append(max(ids[i], ids[j]))
+                label[label == k] = label[i]
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return run
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    left = sets.select(F.col("id").alias("v"), F.col("shingles").alias("sv"))
-    right = sets.select(F.col("id").alias("u"), F.col("shingles").alias("su"))
-    both = pairs.join(left, "v").join(right, "u").select("u", "v", "su", "sv")
-    return both.mapInArrow(_confirm(percent), "u long, v long")
+def _squares(rows: DataFrame, group: str, off_diagonal: bool) -> DataFrame:
+    """Rows (``group``, id, comp, n, ...) dealt to the blocks of a square: block pairs (i, j) with i < j, or i = j where there is one block.
+
+    ``side`` is 0 or 1 for the first or second block of a pair, and 2 in a block of its own."""
+    rows = rows.withColumn("w", F.ceil(F.col("n") / COMPARE).cast("int"))
+    rows = rows.withColumn("at", F.pmod(F.xxhash64("id", group), F.col("w")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("w") - 1)))
+    if off_diagonal:
+        rows = rows.filter("at <> other")
+    side = F.when(F.col("at") == F.col("other"), 2).when(F.col("at") < F.col("other"), 0).otherwise(1)
+    return rows.withColumns({"i": F.least("at", "other"), "j": F.greatest("at", "other"), "side": side})
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 80) -> DataFrame:
@@ -198,32 +235,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = reps.select(F.col("id").alias("v"), F.col("sig").alias("sv"))
     hubs = reps.select(F.col("id").alias("u"), F.col("sig").alias("su"))
     tried = met.filter("id <> hub").select(F.col("hub").alias("u"), F.col("id").alias("v")).distinct()
-    tried = tried.join(near, "v").join(hubs, "u").mapInArrow(_within(THRESHOLD), "u long, v long")
-    sought = own.join(met.select("id").distinct(), "id", "left_semi")
-    sets = written(sought.mapInArrow(_shingle_sets(width), "id long, shingles binary"), "sets")
+    close = written(tried.join(near, "v").join(hubs, "u").mapInArrow(_within(THRESHOLD), "u long, v long"), "close")
+    family = components(close)
+
+    state = met.join(family.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
+    mixed = state.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).filter("low <> high")
+    state = _squares(state.join(mixed.select("key", "n"), "key").join(reps, "id"), "key", off_diagonal=False)
+    far = state.select("key", "i", "j", "side", "id", "comp", "sig").groupBy("key", "i", "j").applyInArrow(_across(THRESHOLD), "u long, v long")
+    far = written(far.distinct(), "far")
+    if not far.isEmpty():
+        family = written(components(close.unionAll(far)), "families")
+
+    sought = own.join(family.select(F.col("node").alias("id"), F.col("component").alias("family")), "id").select("id", "text", "family")
+    sets = written(sought.mapInArrow(_shingle_sets(width), "id long, family long, shingles binary").filter(F.length("shingles") > 0), "sets")
+    sizes = sets.groupBy("family").agg(F.count("*").alias("n"))
+    dealt = sets.join(sizes, "family").withColumn("at", F.pmod(F.xxhash64("id", "family"), F.ceil(F.col("n") / COMPARE)))
+    single = dealt.select("family", "at", "id", F.col("id").alias("comp"), F.lit(2).alias("side"), "shingles")
     # rows that repeat an id with another text are parts of one document
     repeats = member.groupBy("id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low <> high")
     joined = member.join(repeats.select("id", "low"), "id").select(F.col("low").alias("u"), F.col("rep").alias("v"))
-    links = written(_confirmed(tried, sets, percent).unionAll(joined), "links")
-    first = components(links)
-
-    state = met.join(first.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
-    open_ = state.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).filter("low <> high")
-    state = state.join(open_.select("key", "n"), "key").join(reps, "id")
-    # members are dealt to rows and columns of a square of blocks; small entries are one block
-    state = state.withColumn("w", F.ceil(F.col("n") / COMPARE).cast("int")).withColumn("at", F.pmod(F.xxhash64("id", "key"), F.col("w")).cast("int"))
-    dealt = state.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("w") - 1)))
-    dealt = dealt.select(
-        F.when(F.col("w") == 1, F.pmod(F.xxhash64("key"), F.lit(1 << 40))).otherwise(F.col("key")).alias("key"),
-        F.least("at", "other").alias("i"),
-        F.greatest("at", "other").alias("j"),
-        F.when(F.col("at") == F.col("other"), 2).when(F.col("at") < F.col("other"), 0).otherwise(1).alias("side"),
-        "id", "comp", "sig",
-    )
-    more = dealt.groupBy("key", "i", "j").applyInArrow(_across(THRESHOLD), "u long, v long").distinct()
-    more = more.join(links, ["u", "v"], "left_anti")
-    more = written(_confirmed(more, sets, percent), "more-links")
-    final = first if more.isEmpty() else components(links.unionAll(more))
+    links = written(single.groupBy("family", "at").applyInArrow(_link(percent), "u long, v long").unionAll(joined), "links")
+    final = components(links)
+
+    large = sizes.filter(F.col("n") > COMPARE)
+    if not large.isEmpty():
+        state = sets.join(large, "family").join(final.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
+        open_ = state.groupBy("family").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("family")
+        state = _squares(state.join(open_, "family"), "family", off_diagonal=True)
+        more = state.select("family", "i", "j", "side", "id", "comp", "shingles").groupBy("family", "i", "j").applyInArrow(_link(percent), "u long, v long")
+        final = components(written(links.unionAll(more), "all-links"))
 
     ids = member.groupBy("id").agg(F.min("rep").alias("rep")).join(final.withColumnRenamed("node", "rep"), "rep", "left")
     ids = ids.select("id", F.coalesce("component", "rep").alias("component_id"))
