@@ -39,7 +39,7 @@ from umbra.llm.kernels import Words, blocks, mix, utf8
 
 FIT_DOCS = 5_000
 PREFIXES = (4, 5, 6, 8)
-PRIOR = 8.0
+PRIOR = 20.0
 DRIFT = 1.5
 EVALUE = 0.01
 LEVELS = len(PREFIXES) + 1
@@ -79,15 +79,12 @@ class ToxicityModel:
     slope: float
     bias: float
 
-    def word_scores(self, w: Words) -> np.ndarray:
-        """Scores of words; a word without a known token scores -DRIFT."""
-        out = np.full(w.starts.size, -DRIFT)
-        chain = None
-        for level in range(LEVELS):
-            keys = self.keys[level]
+    def word_scores(self, chain: np.ndarray) -> np.ndarray:
+        """Scores of words from their tokens; a word without a known token scores -DRIFT."""
+        out = np.full(chain.shape[1], -DRIFT)
+        for level, keys in enumerate(self.keys):
             if not keys.size:
                 continue
-            chain = _chain(w) if chain is None else chain
             h = chain[level]
             maybe = np.flatnonzero(self.filters[level][(h >> np.uint64(44)).astype(np.int64)])
             at = np.minimum(np.searchsorted(keys, h[maybe]), keys.size - 1)
@@ -151,18 +148,16 @@ def fit(rows: list[tuple[str | None, int]]) -> ToxicityModel | None:
     if not (y[~part].any() and (~y[~part]).any()):
         return None
     raw, off = utf8(pa.array(texts, pa.large_string()))
-    chains, labels, contexts, sets = [], [], [], []
+    labels, contexts, sets = [], [], []
     for lo, hi in blocks(off):
         w = Words(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], lower=True, alnum=True)
         text = w.text_of_word() + lo
         use = ~part[text]
         near = mix(np.concatenate((w.hash[1:2], w.hash[:-1])) * np.uint64(3) + np.concatenate((w.hash[1:], w.hash[-1:]))) if w.hash.size else w.hash
-        chains.append(_chain(w)[:, use])
         contexts.append(near[use])
         labels.append(y[text][use])
-        sets.append((w, lo))
-    chain, context, toxic = np.concatenate(chains, axis=1), np.concatenate(contexts), np.concatenate(labels)
-    del chains, contexts
+        sets.append((_chain(w), text, use, w.word_off, lo))
+    context, toxic = np.concatenate(contexts), np.concatenate(labels)
     if not toxic.any() or toxic.all():
         return None
     root = toxic.mean()
@@ -170,8 +165,9 @@ def fit(rows: list[tuple[str | None, int]]) -> ToxicityModel | None:
     keys, scores = [], []
     above = np.zeros(toxic.size, bool)
     for level in range(LEVELS):
-        tokens, first, of = np.unique(chain[level], return_index=True, return_inverse=True)
-        _, one = np.unique(mix(chain[level] + mix(context ^ toxic.astype(np.uint64))), return_index=True)
+        chain = np.concatenate([c[level][use] for c, _, use, _, _ in sets])
+        tokens, first, of = np.unique(chain, return_index=True, return_inverse=True)
+        _, one = np.unique(mix(chain + mix(context ^ toxic.astype(np.uint64))), return_index=True)
         bad = np.bincount(of[one], toxic[one], tokens.size)
         both = np.bincount(of[one], minlength=tokens.size)
         # a word that ends at an earlier level keeps that level's share
@@ -185,14 +181,14 @@ def fit(rows: list[tuple[str | None, int]]) -> ToxicityModel | None:
         above |= (keep & (score > 0))[of]
     model = ToxicityModel(keys, scores, 0.0, 1.0, 1.0, 0.0)
 
-    word_scores = [(model.word_scores(w), w, lo) for w, lo in sets]
-    clean = np.concatenate([s[~y[w.text_of_word() + lo]] for s, w, lo in word_scores])
+    word_scores = [(model.word_scores(c), text, word_off, lo) for c, text, _, word_off, lo in sets]
+    clean = np.concatenate([s[~y[text]] for s, text, _, _ in word_scores])
     values, counts = np.unique(np.round(clean, 2), return_counts=True)
     model.lam, model.log_k = _karlin_altschul(values, counts / max(1, counts.sum()))
     x = np.zeros(len(rows))
-    for s, w, lo in word_scores:
-        for k in range(w.n_texts):
-            found = model.passages(s[w.word_off[k] : w.word_off[k + 1]])
+    for s, _, word_off, lo in word_scores:
+        for k in range(word_off.size - 1):
+            found = model.passages(s[word_off[k] : word_off[k + 1]])
             x[lo + k] = min(sum(-math.log(max(p[3], 1e-300)) for p in found), 200.0)
     model.slope, model.bias = _logistic(x[part], y[part])
     return model
@@ -237,7 +233,7 @@ def _apply(model):
                 scores, segments = np.zeros(hi - lo), [[] for _ in range(hi - lo)]
                 if m is not None:
                     w = Words(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], lower=True, alnum=True)
-                    s = m.word_scores(w)
+                    s = m.word_scores(_chain(w))
                     scores[:] = m.score([])
                     for k in np.unique(np.searchsorted(w.word_off, np.flatnonzero(s > 0), "right") - 1):
                         found = m.passages(s[w.word_off[k] : w.word_off[k + 1]])
