@@ -13,7 +13,7 @@ within a margin matter.  DataFrame functions only; the text is read twice and
 never shuffled: a cell table within ``BROADCAST_CELLS`` rows is broadcast, a
 larger one is joined under ``SALTS`` salts, so that a hot cell is spread.
 
-Cases: a null source or language counts as the empty string; null and blank
+Cases: columns of ``docs`` named ``mix_...`` are replaced; a null source or language counts as the empty string; null and blank
 texts have no tokens and follow their cell; a margin value whose cells have no
 tokens keeps its weight; a value missing from given targets gets share 0.
 """
@@ -100,6 +100,7 @@ def mix_sources(
 ) -> DataFrame:
     """The sampled rows of ``docs`` with all their columns, then ``mix_topic``, ``mix_tokens`` and ``mix_probability``."""
     topic = default_topic(F.coalesce(F.col(text_col), F.lit(""))) if topic is None else topic
+    docs = docs.select(*(c for c in docs.columns if not c.startswith("mix_")))
     own = docs.withColumns(
         {
             "mix_source": F.coalesce(F.col(source_col).cast("string"), F.lit("")),

@@ -208,6 +208,5 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         kinds = dict(own.dtypes)
         schema += ", kept_text string" + "".join(f", {k} {kinds[k]}" for k in kept) + f", removed {_SPAN}"
     out = own.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_clean(width, bits, full, kept), schema)
-    for c, k in (*zip(carry, kept), (id_col, "id")):
-        out = out.withColumnRenamed(k, c)
-    return out
+    names = {"id": id_col, **dict(zip(kept, carry))}
+    return out.select(*(F.col(c).alias(names.get(c, c)) for c in out.columns))

@@ -142,9 +142,11 @@ def _log_odds(p: np.ndarray) -> np.ndarray:
 
 
 def fit(rows: list[tuple[str | None, int]]) -> ToxicityModel | None:
-    """A model from (text, 0 or 1); None if a class is missing.  Every fourth row is kept for calibration."""
+    """A model from (text, 0 or 1); None if a class is missing.  Every fourth row of a class is kept for calibration."""
     texts, y = [t or "" for t, _ in rows], np.array([v for _, v in rows], bool)
-    part = np.arange(len(rows)) % 4 == 3
+    part = np.zeros(len(rows), bool)
+    for kind in (True, False):
+        part[np.flatnonzero(y == kind)[3::4]] = True
     if not (y[~part].any() and (~y[~part]).any()):
         return None
     raw, off = utf8(pa.array(texts, pa.large_string()))
@@ -184,6 +186,10 @@ def fit(rows: list[tuple[str | None, int]]) -> ToxicityModel | None:
     word_scores = [(model.word_scores(c), text, word_off, lo) for c, text, _, word_off, lo in sets]
     clean = np.concatenate([s[~y[text]] for s, text, _, _ in word_scores])
     values, counts = np.unique(np.round(clean, 2), return_counts=True)
+    if not (values > 0).any() and clean.size:
+        # no clean word scored above zero: by the rule of three, 3 of them might have
+        top = max((float(v.max()) for v in scores if v.size), default=1.0)
+        values, counts = np.append(values, max(top, 0.1)), np.append(counts, 3)
     model.lam, model.log_k = _karlin_altschul(values, counts / max(1, counts.sum()))
     x = np.zeros(len(rows))
     for s, _, word_off, lo in word_scores:
