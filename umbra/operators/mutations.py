@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from umbra.errors import UnsupportedSql
 from umbra.functions.types import lenient_sql
@@ -44,11 +45,25 @@ def insert(table: Table, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, table.df.unionByName(rows)
 
 
+def _taken(table: Table, rows: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Keys of new rows that old rows have.  The new rows are the side that can be broadcast: a large table isn't
+    shuffled for a small batch."""
+    columns = [F.col(tick(c)) for c in key]
+    return table.df.select(*columns).alias("o").join(rows.select(*columns).alias("n"), _same_key(key, "o", "n"), "left_semi").distinct()
+
+
+def _typed(df: DataFrame, expression: str, kind: T.DataType) -> Column:
+    """An expression over ``df`` as a value of that type."""
+    if df.select(F.expr(expression)).schema[0].dataType == kind:
+        return F.expr(expression)
+    return F.expr(lenient_sql(f"({expression})", kind))
+
+
 def insert_ignore(table: Table, rows: DataFrame, keys: Sequence[Sequence[str]]) -> tuple[DataFrame, DataFrame]:
     """New rows whose keys are free; of equal new keys the first wins.  Without a key: a plain insert."""
     for key in keys:
         fresh = _one_per_key(rows, key, last=False).alias("n")
-        rows = fresh.join(table.df.select(*(F.col(tick(c)) for c in key)).alias("o"), _same_key(key, "n", "o"), "left_anti")
+        rows = fresh.join(_taken(table, rows, key).alias("o"), _same_key(key, "n", "o"), "left_anti")
     return insert(table, rows)
 
 
@@ -70,23 +85,16 @@ def upsert(table: Table, rows: DataFrame, key: Sequence[str], assignments: Seque
     check(rows, key)
     columns = table.df.columns
     new = rows.select(F.struct(*(F.col(tick(c)) for c in columns)).alias("excluded"), F.lit(True).alias(_NEW))
-    old = table.df.withColumn(_HIT, F.lit(True))
     same = reduce(lambda a, b: a & b, (F.col(tick(c)) == F.col(f"excluded.{tick(c)}") for c in key))
-    both = old.join(new, same, "full")
-    clash = F.col(_HIT) & F.col(_NEW)
-    hit = F.coalesce(clash & F.coalesce(F.expr(where) if where else F.lit(True), F.lit(False)), F.lit(False))
+    both = table.df.join(new, same, "left")
+    hit = F.coalesce(F.col(_NEW) & (F.expr(where) if where else F.lit(True)), F.lit(False))
     change = {c.lower(): e for c, e in assignments}
-    schema = {f.name: f.dataType for f in table.df.schema}
-    both = both.withColumn("__umbra_change", hit)
-    set_to = {c: F.expr(lenient_sql(f"({change[c.lower()]})", schema[c])) if c.lower() in change else F.col(tick(c)) for c in columns}
-    # values first, under other names: every right side sees the old row
-    out = both.select(
-        "__umbra_change",
-        F.col(_HIT).isNull().alias("__umbra_added"),
-        *(F.when(F.col("__umbra_change"), set_to[c]).when(F.col(_HIT).isNull(), F.col(f"excluded.{tick(c)}")).otherwise(F.col(tick(c))).alias(c) for c in columns),
-    )
-    touched = out.filter("__umbra_change or __umbra_added")
-    return touched.select(*map(tick, columns)), out.select(*map(tick, columns))
+    set_to = {f.name: _typed(both, change[f.name.lower()], f.dataType) if f.name.lower() in change else F.col(tick(f.name)) for f in table.df.schema}
+    # one projection: every right side sees the old row
+    out = both.select(hit.alias(_HIT), *(F.when(hit, set_to[c]).otherwise(F.col(tick(c))).alias(c) if c.lower() in change else F.col(tick(c)) for c in columns))
+    fresh = rows.alias("n").join(_taken(table, rows, key).alias("o"), _same_key(key, "n", "o"), "left_anti")
+    names = [tick(c) for c in columns]
+    return out.filter(_HIT).select(*names).unionByName(fresh), out.select(*names).unionByName(fresh)
 
 
 def update(table: Table, run: Run, source: str, assignments: Sequence[tuple[str, str]], where: str, chosen: DataFrame | None, row_id: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -110,8 +118,10 @@ def update(table: Table, run: Run, source: str, assignments: Sequence[tuple[str,
         mark = chosen.select(*(F.col(tick(c)).alias(f"__umbra_key_{k}") for k, c in enumerate(row_id)), F.lit(True).alias("__umbra_chosen"))
         same = reduce(lambda a, b: a & b, (F.col(old[c]).eqNullSafe(F.col(f"__umbra_key_{k}")) for k, c in enumerate(row_id)))
         rows = rows.join(mark, same, "left").withColumn(_HIT, F.coalesce(F.col("__umbra_chosen"), F.lit(False)))
-    value = {c: F.expr(lenient_sql(tick(new[c]), schema[c])) if c in change else F.col(old[c]) for c in columns}
-    affected = rows.filter(_HIT).select(*(value[c].alias(c) for c in [*change, *(c for c in columns if c not in change)]))
+    value = {c: _typed(rows, tick(new[c]), schema[c]) if c in change else F.col(old[c]) for c in columns}
+    # a plain WHERE reaches the scan; it drops NULL as well
+    hit = run(f"SELECT {', '.join(picked)} FROM {source} WHERE {where or 'true'}") if chosen is None else rows.filter(_HIT)
+    affected = hit.select(*(value[c].alias(c) for c in [*change, *(c for c in columns if c not in change)]))
     after = rows.select(*(F.when(F.col(_HIT), value[c]).otherwise(F.col(old[c])).alias(c) if c in change else F.col(old[c]).alias(c) for c in columns))
     return affected, after
 
@@ -127,4 +137,4 @@ def delete(table: Table, run: Run, source: str, where: str, chosen: DataFrame |
         return table.df, table.df.limit(0)
     names = ", ".join(columns)
     pred = f"coalesce(({where}), false)"
-    return run(f"SELECT {names} FROM {source} WHERE {pred}"), run(f"SELECT {names} FROM {source} WHERE NOT {pred}")
+    return run(f"SELECT {names} FROM {source} WHERE {where}"), run(f"SELECT {names} FROM {source} WHERE NOT {pred}")
