@@ -20,7 +20,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Link each larger neighbour of a node to the smallest of node and neighbours."""
     near = _both_ways(edges)
     least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return near.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    return near.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -33,14 +33,14 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """``(node, component)`` for each node of an edge; ``component`` is the smallest node reachable."""
-    now = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).filter("u <> v").distinct()
+    now = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).filter("u <> v")
     while True:
         now = written(_small_star(_large_star(now)), "star")
         # done when all edges point to centres: no node has two, and no centre points on
-        ends = now.groupBy("u").agg(F.count("*").alias("out"), F.lit(0).alias("into"))
-        ends = ends.unionAll(now.select(F.col("v").alias("u"), F.lit(0).alias("out"), F.lit(1).alias("into")).distinct())
-        odd = ends.groupBy("u").agg(F.sum("out").alias("out"), F.sum("into").alias("into")).filter("out > 1 or (out > 0 and into > 0)")
-        if odd.isEmpty():
+        none = F.lit(None).cast("long")
+        ends = now.select("u", "v", F.lit(False).alias("centre")).unionAll(now.select(F.col("v").alias("u"), none.alias("v"), F.lit(True).alias("centre")))
+        ends = ends.groupBy("u").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.max("centre").alias("centre"))
+        if ends.filter("low <> high or (centre and low is not null)").isEmpty():
             break
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

@@ -11,16 +11,16 @@ pair under the threshold meets in some index entry.  At a similarity of exactly
 Links are then confirmed on the full shingle sets.  No entry's pairs are listed:
 
 1. documents with equal sets are one class, represented by its smallest id;
-2. in each entry every representative is tried with the entry's smallest one;
-   pairs within the threshold give first families.  Only entries that still span
-   several families are searched further, by signature and in blocks, and each
-   block reports no more pairs than join its families.  The result: families
-   such that no pair within the threshold lies across two of them;
+2. in each entry every representative is tried with the entry's smallest one.
+   Members beyond the threshold from it are compared with all members of the
+   entry, by signature and in blocks; a block reports no more pairs than join its
+   members.  The connected families that result have no pair within the
+   threshold across two of them;
 3. the shingle sets of a family's members meet once, in blocks of ``COMPARE``;
-   families of several blocks also meet block by block, across components only.
-   A block compares the members that are outside its largest component with all
-   others, exactly, and reports the links that join components.  A pair inside
-   one component needs no trial, as it can't change the result.
+   a family of several blocks also meets block by block.  A block compares the
+   members outside its largest component with all others, exactly, and reports
+   the links that join components.  A pair inside one component needs no trial,
+   as it can't change the result.
 
 Cases: null and blank texts have no shingles and no links (``component_id`` is
 their own id); fewer words than a shingle make one shingle; rows that repeat an
@@ -143,42 +143,57 @@ def _postings(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, n
     return size, np.cumsum(size) - size, number, start, owner
 
 
-def _link(percent: int):
-    """Exact links that join components, among the members of one block (side 2) or across two (sides 0 and 1)."""
+def _joins(table, percent: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Component labels after, and exact links that join components, among the members of one block (side 2) or across two (0 and 1)."""
+    side = table.column("side").to_numpy()
+    label = np.unique(table.column("comp").to_numpy(), return_inverse=True)[1]
+    size, at, number, start, owner = _postings(table.column("shingles").combine_chunks())
+    links: list[tuple[int, int]] = []
+    if np.unique(label).size > 1:
+        common = np.concatenate(([0], np.cumsum(np.diff(start)[number])))
+        kinds, many = np.unique(label, return_counts=True)
+        base = int((common[at + size] - common[at]).argmax()) if many.max() == 1 else int(np.flatnonzero(label == kinds[many.argmax()])[0])
+        # what is joined to the base needs no trials of its own: others try it
+        for i in [base, *range(len(label))]:
+            if i != base and label[i] == label[base]:
+                continue
+            mine = number[at[i] : at[i] + size[i]]
+            n = start[mine + 1] - start[mine]
+            both = np.bincount(owner[np.arange(int(n.sum())) + np.repeat(start[mine] - (np.cumsum(n) - n), n)], minlength=len(label))
+            link = 100 * both >= percent * (size + size[i] - both)
+            link &= label != label[i]
+            if side[i] != 2:
+                link &= side != side[i]
+            for k in np.unique(label[link]):
+                links.append((i, int(np.flatnonzero(link & (label == k))[0])))
+                label[label == k] = label[i]
+    return label, links
+
+
+def _settle(percent: int):
+    """Each member of a block with the smallest id of its component there."""
 
     def run(table):
-        ids, side = table.column("id").to_numpy(), table.column("side").to_numpy()
-        label = np.unique(table.column("comp").to_numpy(), return_inverse=True)[1]
-        size, at, number, start, owner = _postings(table.column("shingles").combine_chunks())
-        u, v = [], []
-        if np.unique(label).size > 1:
-            common = np.concatenate(([0], np.cumsum(np.diff(start)[number])))
-            middle = int((common[at + size] - common[at]).argmax())
-            kinds, many = np.unique(label, return_counts=True)
-            base = middle if many.max() == 1 else int(np.flatnonzero(label == kinds[many.argmax()])[0])
-            # what is joined to the base needs no trials of its own: others try it
-            for i in [base, *range(len(ids))]:
-                if i != base and label[i] == label[base]:
-                    continue
-                mine = number[at[i] : at[i] + size[i]]
-                n = start[mine + 1] - start[mine]
-                both = np.bincount(owner[np.arange(int(n.sum())) + np.repeat(start[mine] - (np.cumsum(n) - n), n)], minlength=len(ids))
-                link = 100 * both >= percent * (size + size[i] - both)
-                link &= label != label[i]
-                if side[i] != 2:
-                    link &= side != side[i]
-                for k in np.unique(label[link]):
-                    j = int(np.flatnonzero(link & (label == k))[0])
-                    u.append(min(ids[i], ids[j]))
-                    v.append(max(ids[i], ids[j]))
-                    label[label == k] = label[i]
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+        label, _ = _joins(table, percent)
+        ids = table.column("id").to_numpy()
+        least = np.full(label.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, label, ids)
+        return pa.table({"family": table.column("family"), "id": table.column("id"), "comp": pa.array(least[label], pa.int64()), "n": table.column("n")})
+
+    return run
+
+
+def _link(percent: int):
+    def run(table):
+        ids = table.column("id").to_numpy()
+        pairs = [sorted((ids[i], ids[j])) for i, j in _joins(table, percent)[1]]
+        return pa.table({"u": pa.array([p[0] for p in pairs], pa.int64()), "v": pa.array([p[1] for p in pairs], pa.int64())})
 
     return run
 
 
 def _across(threshold: int):
-    """Pairs within the threshold that join families, among the members of one block or across two."""
+    """Pairs within the threshold that join components, among the members of one block or across two."""
 
     def run(table):
         sig = _fields(table.column("sig").combine_chunks())
@@ -204,14 +219,14 @@ def _across(threshold: int):
     return run
 
 
-def _squares(rows: DataFrame, group: str, off_diagonal: bool) -> DataFrame:
-    """Rows (``group``, id, comp, n, ...) dealt to the blocks of a square: block pairs (i, j) with i < j, or i = j where there is one block.
+def _squares(rows: DataFrame, group: str, diagonal: bool) -> DataFrame:
+    """Rows (``group``, id, n, ...) dealt to the blocks of a square, in pairs (i, j) with i < j, and i = j if ``diagonal``.
 
     ``side`` is 0 or 1 for the first or second block of a pair, and 2 in a block of its own."""
     rows = rows.withColumn("w", F.ceil(F.col("n") / COMPARE).cast("int"))
     rows = rows.withColumn("at", F.pmod(F.xxhash64("id", group), F.col("w")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("w") - 1)))
-    if off_diagonal:
+    if not diagonal:
         rows = rows.filter("at <> other")
     side = F.when(F.col("at") == F.col("other"), 2).when(F.col("at") < F.col("other"), 0).otherwise(1)
     return rows.withColumns({"i": F.least("at", "other"), "j": F.greatest("at", "other"), "side": side})
@@ -232,38 +247,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     entries = reps.mapInArrow(_entries, "key long, id long")
     shared = entries.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).filter("hub <> top").select("key", "hub")
     met = written(entries.join(shared, "key").select("key", "hub", "id"), "entries")
-    near = reps.select(F.col("id").alias("v"), F.col("sig").alias("sv"))
-    hubs = reps.select(F.col("id").alias("u"), F.col("sig").alias("su"))
-    tried = met.filter("id <> hub").select(F.col("hub").alias("u"), F.col("id").alias("v")).distinct()
-    close = written(tried.join(near, "v").join(hubs, "u").mapInArrow(_within(THRESHOLD), "u long, v long"), "close")
-    family = components(close)
-
-    state = met.join(family.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
-    mixed = state.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).filter("low <> high")
-    state = _squares(state.join(mixed.select("key", "n"), "key").join(reps, "id"), "key", off_diagonal=False)
+    near = reps.select("id", "sig")
+    hubs = reps.select(F.col("id").alias("hub"), F.col("sig").alias("hub_sig"))
+    met = met.join(near, "id").join(hubs, "hub").mapInArrow(_within(THRESHOLD), "key long, hub long, id long, sig binary, near boolean")
+    met = written(met, "met")
+    close = met.filter("near and id <> hub").select(F.col("hub").alias("u"), F.col("id").alias("v")).distinct()
+    beyond = met.groupBy("key").agg(F.count("*").alias("n"), F.bool_and("near").alias("all_near")).filter("not all_near and n > 2").select("key", "n")
+    state = met.join(beyond, "key").withColumn("comp", F.when(F.col("near"), F.col("hub")).otherwise(F.col("id")))
+    state = _squares(state, "key", diagonal=True)
     far = state.select("key", "i", "j", "side", "id", "comp", "sig").groupBy("key", "i", "j").applyInArrow(_across(THRESHOLD), "u long, v long")
-    far = written(far.distinct(), "far")
-    if not far.isEmpty():
-        family = written(components(close.unionAll(far)), "families")
+    family = components(close.unionAll(far.distinct()))
 
-    sought = own.join(family.select(F.col("node").alias("id"), F.col("component").alias("family")), "id").select("id", "text", "family")
+    # a plain merge join at every size: the text moves once, whatever the other side's size
+    sought = own.hint("merge").join(family.select(F.col("node").alias("id"), F.col("component").alias("family")), "id").select("id", "text", "family")
     sets = written(sought.mapInArrow(_shingle_sets(width), "id long, family long, shingles binary").filter(F.length("shingles") > 0), "sets")
     sizes = sets.groupBy("family").agg(F.count("*").alias("n"))
-    dealt = sets.join(sizes, "family").withColumn("at", F.pmod(F.xxhash64("id", "family"), F.ceil(F.col("n") / COMPARE)))
-    single = dealt.select("family", "at", "id", F.col("id").alias("comp"), F.lit(2).alias("side"), "shingles")
+    dealt = sets.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("id", "family"), F.ceil(F.col("n") / COMPARE)))
+    single = dealt.select("family", "block", "id", F.col("id").alias("comp"), F.lit(2).alias("side"), "n", "shingles")
+    settled = written(single.groupBy("family", "block").applyInArrow(_settle(percent), "family long, id long, comp long, n long"), "settled")
     # rows that repeat an id with another text are parts of one document
     repeats = member.groupBy("id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low <> high")
     joined = member.join(repeats.select("id", "low"), "id").select(F.col("low").alias("u"), F.col("rep").alias("v"))
-    links = written(single.groupBy("family", "at").applyInArrow(_link(percent), "u long, v long").unionAll(joined), "links")
-    final = components(links)
-
-    large = sizes.filter(F.col("n") > COMPARE)
+    links = settled.filter("id <> comp").select(F.col("comp").alias("u"), F.col("id").alias("v")).unionAll(joined)
+    large = settled.filter(F.col("n") > COMPARE)
     if not large.isEmpty():
-        state = sets.join(large, "family").join(final.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
-        open_ = state.groupBy("family").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("family")
-        state = _squares(state.join(open_, "family"), "family", off_diagonal=True)
+        state = _squares(sets.join(large.drop("family"), "id"), "family", diagonal=False)
         more = state.select("family", "i", "j", "side", "id", "comp", "shingles").groupBy("family", "i", "j").applyInArrow(_link(percent), "u long, v long")
-        final = components(written(links.unionAll(more), "all-links"))
+        links = links.unionAll(more)
+    final = components(links)
 
     ids = member.groupBy("id").agg(F.min("rep").alias("rep")).join(final.withColumnRenamed("node", "rep"), "rep", "left")
     ids = ids.select("id", F.coalesce("component", "rep").alias("component_id"))
@@ -274,7 +285,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _within(threshold: int):
     def run(batches):
         for batch in batches:
-            near = (_fields(batch.column("sv")) != _fields(batch.column("su"))).sum(1) <= threshold
-            yield pa.record_batch({c: batch.column(c).filter(pa.array(near)) for c in ("u", "v")})
+            near = (_fields(batch.column("sig")) != _fields(batch.column("hub_sig"))).sum(1) <= threshold
+            yield pa.record_batch({**{c: batch.column(c) for c in ("key", "hub", "id", "sig")}, "near": pa.array(near)})
 
     return run
