@@ -45,6 +45,12 @@ def _same(tables: str, sql: str) -> Query:
     return Query(tables, sql, sql)
 
 
+def _narrowed(q: Query, *columns: str) -> Query:
+    """Spark counts ranks and lengths in 32 bits, DuckDB in 64."""
+    casts = ", ".join(f"{c}::INTEGER AS {c}" for c in columns)
+    return Query(q.tables, q.sql, f"SELECT * REPLACE ({casts}) FROM ({q.oracle})", q.script)
+
+
 _NATION = "SELECT n_nationkey, n_name, n_regionkey FROM nation"
 _REGION = "SELECT r_regionkey, r_name FROM region"
 
@@ -93,11 +99,11 @@ QUERIES: dict[str, Query] = {
     "agg_total": Query("customer", "SELECT c_mktsegment, total(c_nationkey) AS t FROM customer GROUP BY c_mktsegment UNION ALL SELECT 'none', total(c_nationkey) FROM customer WHERE c_custkey < 0", "SELECT c_mktsegment, sum(c_nationkey)::DOUBLE AS t FROM customer GROUP BY c_mktsegment UNION ALL SELECT 'none', 0.0::DOUBLE"),
     "agg_bare_column": Query("nation", "SELECT n_regionkey, count(*) AS n, n_regionkey + 1 AS k FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, count(*) AS n, n_regionkey + 1 AS k FROM nation GROUP BY n_regionkey"),
     "agg_tpch_q1": _same("lineitem", "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, round(avg(l_quantity), 4) AS avg_qty, count(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus"),
-    "win_row_number": _same("orders", "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders"),
-    "win_rank": _same("part", "SELECT p_partkey, rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS r FROM part"),
-    "win_dense_rank": _same("part", "SELECT p_partkey, dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS r FROM part"),
+    "win_row_number": _narrowed(_same("orders", "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders"), "rn"),
+    "win_rank": _narrowed(_same("part", "SELECT p_partkey, rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS r FROM part"), "r"),
+    "win_dense_rank": _narrowed(_same("part", "SELECT p_partkey, dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS r FROM part"), "r"),
     "win_percent_rank": _same("part", "SELECT p_partkey, round(percent_rank() OVER (PARTITION BY p_brand ORDER BY p_size), 6) AS r, round(cume_dist() OVER (PARTITION BY p_brand ORDER BY p_size), 6) AS d FROM part"),
-    "win_ntile": _same("customer", "SELECT c_custkey, ntile(4) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) AS q FROM customer"),
+    "win_ntile": _narrowed(_same("customer", "SELECT c_custkey, ntile(4) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) AS q FROM customer"), "q"),
     "win_lag_lead": _same("orders", "SELECT o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before, lead(o_orderkey, 2) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS later FROM orders"),
     "win_first_last": _same("orders", "SELECT o_orderkey, first_value(o_orderkey) OVER w AS f, last_value(o_orderkey) OVER w AS l, nth_value(o_orderkey, 2) OVER w AS s FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"),
     "win_frame_rows": _same("orders", "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS s FROM orders"),
@@ -160,7 +166,7 @@ QUERIES: dict[str, Query] = {
     "fn_glob": Query("customer", "SELECT c_custkey FROM customer WHERE c_name GLOB '*[13]?'", "SELECT c_custkey FROM customer WHERE c_name GLOB '*[13]?'"),
     "fn_is_nullsafe": Query("nation", "SELECT n_nationkey, nullif(n_regionkey, 1) IS NULL AS a, nullif(n_regionkey, 1) IS 2 AS b, nullif(n_regionkey, 1) IS NOT 2 AS c FROM nation", "SELECT n_nationkey, nullif(n_regionkey, 1) IS NULL AS a, nullif(n_regionkey, 1) IS NOT DISTINCT FROM 2 AS b, nullif(n_regionkey, 1) IS DISTINCT FROM 2 AS c FROM nation"),
     "fn_strftime": Query("orders", "SELECT o_orderkey, strftime('%Y-%m', o_orderdate) AS m, date(o_orderdate, '+1 month') AS d, date(o_orderdate, 'start of year') AS y FROM orders", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS m, strftime(o_orderdate + INTERVAL 1 MONTH, '%Y-%m-%d') AS d, strftime(date_trunc('year', o_orderdate), '%Y-%m-%d') AS y FROM orders"),
-    "fn_substr_instr": _same("customer", "SELECT c_custkey, substr(c_name, 3, 4) AS s, instr(c_name, '1') AS i, length(c_name) AS n, replace(c_name, '0', 'o') AS r FROM customer"),
+    "fn_substr_instr": _narrowed(_same("customer", "SELECT c_custkey, substr(c_name, 3, 4) AS s, instr(c_name, '1') AS i, length(c_name) AS n, replace(c_name, '0', 'o') AS r FROM customer"), "i", "n"),
     "fn_printf": Query("nation", "SELECT n_nationkey, printf('%05d:%s', n_nationkey, n_name) AS t FROM nation", "SELECT n_nationkey, printf('%05d:%s', n_nationkey, n_name) AS t FROM nation"),
     "fn_json_extract": Query("events", "SELECT event_id, json_extract('{\"a\": {\"b\": [1, 2, 3]}}', '$.a.b[1]') AS b, json_array_length('[1,2,3]') AS n FROM events", "SELECT event_id, '2' AS b, 3 AS n FROM events"),
     "fn_min_max_scalar": Query("part", "SELECT p_partkey, min(p_size, 10) AS lo, max(p_size, 10, NULL) AS hi FROM part", "SELECT p_partkey, least(p_size, 10) AS lo, NULL::INTEGER AS hi FROM part"),
