@@ -110,6 +110,8 @@ def test_languages(spark, make_docs, awkward):
     blank = [r for r in got if r.doc_id in (1, 2, 3)]
     assert len(got) == len(awkward) and all((r.lang_pred, r.score) == ("und", 0.0) for r in blank)
     assert langid.identify_languages(make_docs([(1, "abc")]), None).first().lang_pred == "und"
+    raw, off = utf8(pa.array(["\U0001f600 12"]))
+    assert not langid.letters(raw, off)[0].any()
     raw, off = utf8(pa.array(["Ab, cÉ!", "12", "\U00020000x"]))
     points, to = langid.letters(raw, off)
     assert [[int(p) for p in points[a:b]] for a, b in zip(to[:-1], to[1:])][0][:3] == [97, 98, 0]

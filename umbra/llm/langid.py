@@ -54,8 +54,11 @@ def letters(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Folded code points of a block, with single blanks (0) between words, and the texts' offsets in them."""
     points = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     char_off = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))[off]
-    # beyond the basic plane every character counts as a letter of its own
-    folded = np.where(points < 0x10000, _FOLD[np.minimum(points, 0xFFFF)], points)
+    folded = _FOLD[np.minimum(points, 0xFFFF)]
+    if (wide := points >= 0x10000).any():  # few characters: letters among them stay as they are
+        kinds = np.unique(points[wide])
+        real = kinds[[chr(c).isalpha() for c in kinds]]
+        folded[wide] = np.where(np.isin(points[wide], real), points[wide], 0)
     keep = folded > 0
     keep[1:] |= folded[:-1] > 0
     if folded.size:
