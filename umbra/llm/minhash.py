@@ -12,9 +12,8 @@ Links are then confirmed on the full shingle sets.  No entry's pairs are listed:
 
 1. documents with equal sets are one class, represented by its smallest id;
 2. in each entry every representative is tried with the entry's smallest one.
-   Members beyond the threshold from it are compared with all members of the
-   entry, by signature and in blocks; a block reports no more pairs than join its
-   members.  The connected families that result have no pair within the
+   Entries whose members aren't all joined that way are compared further, by
+   signature and in blocks; a block reports no more pairs than join its members.  The connected families that result have no pair within the
    threshold across two of them;
 3. the shingle sets of a family's members meet once, in blocks of ``COMPARE``;
    a family of several blocks also meets block by block.  A block compares the
@@ -225,7 +224,10 @@ def _squares(rows: DataFrame, group: str, diagonal: bool) -> DataFrame:
     ``side`` is 0 or 1 for the first or second block of a pair, and 2 in a block of its own."""
     rows = rows.withColumn("w", F.ceil(F.col("n") / COMPARE).cast("int"))
     rows = rows.withColumn("at", F.pmod(F.xxhash64("id", group), F.col("w")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("w") - 1)))
+    # groups of one block stay as they are
+    whole = rows.filter("w = 1").withColumn("other", F.lit(0))
+    rows = rows.filter("w > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("w") - 1)))
+    rows = rows.unionByName(whole) if diagonal else rows
     if not diagonal:
         rows = rows.filter("at <> other")
     side = F.when(F.col("at") == F.col("other"), 2).when(F.col("at") < F.col("other"), 0).otherwise(1)
@@ -239,22 +241,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketch = written(own.mapInArrow(_sketch(width), "id long, n_shingles long, s1 long, s2 long, sig binary"), "sketch")
     some = sketch.filter("n_shingles > 0 and id is not null")
     same = ["n_shingles", "s1", "s2"]
-    classes = some.groupBy(*same).agg(F.min("id").alias("rep"))
-    member = written(some.select("id", *same).join(classes, same).select("id", "rep"), "classes")
-    reps = some.join(member.select("rep").distinct(), F.col("id") == F.col("rep"), "left_semi").select("id", "sig")
-    reps = written(reps.dropDuplicates(["id", "sig"]), "reps")
+    classes = written(some.groupBy(*same).agg(F.min(F.struct("id", "sig")).alias("rep")), "classes")
+    member = some.select("id", *same).join(classes.select(*same, F.col("rep.id").alias("rep")), same).select("id", "rep")
+    reps = classes.select("rep.id", "rep.sig")
 
     entries = reps.mapInArrow(_entries, "key long, id long")
     shared = entries.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).filter("hub <> top").select("key", "hub")
-    met = written(entries.join(shared, "key").select("key", "hub", "id"), "entries")
+    met = entries.join(shared, "key").select("key", "hub", "id")
     near = reps.select("id", "sig")
     hubs = reps.select(F.col("id").alias("hub"), F.col("sig").alias("hub_sig"))
-    met = met.join(near, "id").join(hubs, "hub").mapInArrow(_within(THRESHOLD), "key long, hub long, id long, sig binary, near boolean")
+    met = met.join(near, "id").join(hubs, "hub").mapInArrow(_within(THRESHOLD), "key long, hub long, id long, near boolean")
     met = written(met, "met")
     close = met.filter("near and id <> hub").select(F.col("hub").alias("u"), F.col("id").alias("v")).distinct()
-    beyond = met.groupBy("key").agg(F.count("*").alias("n"), F.bool_and("near").alias("all_near")).filter("not all_near and n > 2").select("key", "n")
-    state = met.join(beyond, "key").withColumn("comp", F.when(F.col("near"), F.col("hub")).otherwise(F.col("id")))
-    state = _squares(state, "key", diagonal=True)
+    # what a member is joined to: its smallest near hub, and that hub's own
+    one = met.filter("near").groupBy("id").agg(F.min("hub").alias("one"))
+    two = one.join(one.select(F.col("id").alias("one"), F.col("one").alias("two")), "one", "left").select("id", F.coalesce("two", "one").alias("comp"))
+    state = met.select("key", "id").join(two, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+    mixed = state.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high and n > 2").select("key", "n")
+    state = _squares(state.join(mixed, "key").join(near, "id"), "key", diagonal=True)
     far = state.select("key", "i", "j", "side", "id", "comp", "sig").groupBy("key", "i", "j").applyInArrow(_across(THRESHOLD), "u long, v long")
     family = components(close.unionAll(far.distinct()))
 
@@ -286,6 +290,6 @@ def _within(threshold: int):
     def run(batches):
         for batch in batches:
             near = (_fields(batch.column("sig")) != _fields(batch.column("hub_sig"))).sum(1) <= threshold
-            yield pa.record_batch({**{c: batch.column(c) for c in ("key", "hub", "id", "sig")}, "near": pa.array(near)})
+            yield pa.record_batch({**{c: batch.column(c) for c in ("key", "hub", "id")}, "near": pa.array(near)})
 
     return run
