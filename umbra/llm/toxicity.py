@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from umbra.llm.kernels import Words, blocks, mix, utf8
 
-FIT_DOCS = 5_000
+FIT_DOCS = 2_000
 PREFIXES = (4, 5, 6, 8)
 PRIOR = 20.0
 DRIFT = 1.5
@@ -181,6 +181,7 @@ def fit(rows: list[tuple[str | None, int]]) -> ToxicityModel | None:
         scores.append(score[keep])
         share_of_word = share[of]
         above |= (keep & (score > 0))[of]
+        del chain, tokens, first, of, one
     model = ToxicityModel(keys, scores, 0.0, 1.0, 1.0, 0.0)
 
     word_scores = [(model.word_scores(c), text, word_off, lo) for c, text, _, word_off, lo in sets]
