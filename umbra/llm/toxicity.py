@@ -28,6 +28,7 @@ get equal scores; without labels, or with one class only, every score is 0.
 from __future__ import annotations
 
 import math
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -276,8 +277,15 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel | None, id_col: str = "
     return own.mapInArrow(_apply(shared), f"id {kind}, score double, passages {_SEGMENT}").withColumnRenamed("id", id_col)
 
 
+def _fit_task(batches):
+    rows = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns))]
+    if rows:
+        rows.sort(key=lambda r: (r[0][::-1], r[1] or ""))
+        yield pa.record_batch({"model": pa.array([pickle.dumps(fit([(text, label) for _, text, label in rows]))], pa.binary())})
+
+
 def train_toxicity(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text", limit: int = FIT_DOCS) -> ToxicityModel | None:
-    """A model from the labelled sample, fitted on the driver (at most ``limit`` texts)."""
-    rows = labelled_sample(docs, labels, "toxic", allowed, limit, id_col, text_col).collect()
-    rows.sort(key=lambda r: (str(r.id)[::-1], r.text or ""))
-    return fit([(r.text, r.label) for r in rows])
+    """A model from the labelled sample (at most ``limit`` texts), fitted in one task, so that the driver holds the model only."""
+    sample = labelled_sample(docs, labels, "toxic", allowed, limit, id_col, text_col)
+    made = sample.select(F.col("id").cast("string").alias("id"), "text", "label").repartition(1).mapInArrow(_fit_task, "model binary").first()
+    return pickle.loads(made.model) if made is not None else None
