@@ -38,9 +38,9 @@ from pyspark.sql import functions as F
 
 from umbra.llm.kernels import Words, blocks, mix, utf8
 
-FIT_DOCS = 2_000
+FIT_DOCS = 5_000
 PREFIXES = (4, 5, 6, 8)
-PRIOR = 20.0
+PRIOR = 8.0
 DRIFT = 1.5
 EVALUE = 0.01
 LEVELS = len(PREFIXES) + 1
