@@ -71,14 +71,17 @@ QUERIES: dict[str, Query] = {
     "read_join_cross": _same("region nation", "SELECT r.r_name, n.n_name FROM region r CROSS JOIN nation n"),
     "read_join_comma": _same("region nation", "SELECT r_name, n_name FROM region, nation WHERE r_regionkey = n_regionkey"),
     "read_join_using": Query("orders", "SELECT o_orderkey, x.p AS p FROM orders JOIN (SELECT o_orderkey, o_totalprice * 2 AS p FROM orders WHERE o_orderkey < 100) x USING (o_orderkey)", "SELECT o_orderkey, o_totalprice * 2 AS p FROM orders WHERE o_orderkey < 100"),
+    "read_join_using_whole": Query("orders", "SELECT o_orderkey, x.p AS p FROM orders JOIN (SELECT o_orderkey, o_totalprice * 2 AS p FROM orders) x USING (o_orderkey)", "SELECT o_orderkey, o_totalprice * 2 AS p FROM orders"),
     "read_join_natural": Query("nation", "SELECT n_name, k FROM nation NATURAL JOIN (SELECT n_nationkey, n_nationkey + 1 AS k FROM nation) x", "SELECT n_name, n_nationkey + 1 AS k FROM nation"),
     "read_join_theta": _same("part", "SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_size < b.p_size AND a.p_partkey < 20 AND b.p_partkey < 20"),
+    "read_join_theta_whole": _same("part", "SELECT a.p_size AS size, count(*) AS n FROM part a JOIN part b ON a.p_size < b.p_size GROUP BY a.p_size"),
     "read_semi_exists": _same("customer orders", "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 200000)"),
     "read_anti_not_exists": _same("customer orders", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)"),
     "read_in_subquery": _same("customer nation", "SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)"),
     "read_not_in_subquery": _same("customer nation", "SELECT c_custkey FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)"),
     "read_scalar_subquery": _same("part", "SELECT p_partkey FROM part WHERE p_retailprice > (SELECT avg(p_retailprice) FROM part)"),
     "read_correlated": _same("customer orders", "SELECT c_custkey, (SELECT max(o_totalprice) FROM orders o WHERE o.o_custkey = c.c_custkey) AS top FROM customer c WHERE c_custkey <= 200"),
+    "read_correlated_whole": _same("customer orders", "SELECT c_custkey, (SELECT max(o_totalprice) FROM orders o WHERE o.o_custkey = c.c_custkey) AS top FROM customer c"),
     "read_derived_table": _same("lineitem", "SELECT f, q FROM (SELECT l_returnflag AS f, sum(l_quantity) AS q FROM lineitem GROUP BY l_returnflag) t WHERE q > 0"),
     "read_cte": _same("orders", "WITH big AS (SELECT * FROM orders WHERE o_totalprice > 250000) SELECT o_orderstatus, count(*) AS n FROM big GROUP BY o_orderstatus"),
     "read_cte_multi": _same("nation region", "WITH a AS (SELECT * FROM region WHERE r_regionkey < 3), b AS (SELECT n.n_name, a.r_name FROM nation n JOIN a ON n.n_regionkey = a.r_regionkey) SELECT r_name, count(*) AS n FROM b GROUP BY r_name"),
@@ -134,6 +137,7 @@ QUERIES: dict[str, Query] = {
     "insert_or_abort_state": Query("region", "SELECT * FROM region", _REGION + " UNION ALL VALUES (8, 'EIGHT')", "INSERT OR ABORT INTO region VALUES (8, 'EIGHT')"),
     "upsert_state": Query("nation", "SELECT * FROM nation", "SELECT n_nationkey, CASE WHEN n_nationkey = 2 THEN 'UP' ELSE n_name END AS n_name, n_regionkey FROM nation UNION ALL VALUES (50, 'IN', 1)", "INSERT INTO nation VALUES (2, 'X', 9), (50, 'IN', 1) ON CONFLICT (n_nationkey) DO UPDATE SET n_name = 'UP'"),
     "upsert_excluded_state": Query("customer", "SELECT * FROM customer", "SELECT c_custkey, CASE WHEN c_custkey <= 50 THEN c_name || '/' || c_name || '!' ELSE c_name END AS c_name, c_nationkey, CASE WHEN c_custkey <= 50 THEN c_acctbal + 10 ELSE c_acctbal END AS c_acctbal, c_mktsegment FROM customer", "INSERT INTO customer SELECT c_custkey, c_name || '!', 0, 10, 'x' FROM customer WHERE c_custkey <= 50 ON CONFLICT (c_custkey) DO UPDATE SET c_name = c_name || '/' || excluded.c_name, c_acctbal = customer.c_acctbal + excluded.c_acctbal"),
+    "upsert_excluded_whole_state": Query("customer", "SELECT * FROM customer", "SELECT c_custkey, c_name || '/' || c_name || '!' AS c_name, c_nationkey, c_acctbal + 10 AS c_acctbal, c_mktsegment FROM customer", "INSERT INTO customer SELECT c_custkey, c_name || '!', 0, 10, 'x' FROM customer WHERE true ON CONFLICT (c_custkey) DO UPDATE SET c_name = c_name || '/' || excluded.c_name, c_acctbal = customer.c_acctbal + excluded.c_acctbal"),
     "upsert_where_state": Query("nation", "SELECT * FROM nation", "SELECT n_nationkey, CASE WHEN n_nationkey < 3 THEN 'NEW' ELSE n_name END AS n_name, n_regionkey FROM nation", "INSERT INTO nation SELECT n_nationkey, 'NEW', n_regionkey FROM nation ON CONFLICT (n_nationkey) DO UPDATE SET n_name = excluded.n_name WHERE nation.n_nationkey < 3"),
     "update_state": Query("supplier", "SELECT * FROM supplier", "SELECT s_suppkey, s_name, s_nationkey, CASE WHEN s_nationkey < 10 THEN s_acctbal * 2 ELSE s_acctbal END AS s_acctbal FROM supplier", "UPDATE supplier SET s_acctbal = s_acctbal * 2 WHERE s_nationkey < 10"),
     "update_swap_state": Query("nation", "SELECT * FROM nation", "SELECT n_regionkey AS n_nationkey, n_name, n_nationkey AS n_regionkey FROM nation", "UPDATE nation SET n_nationkey = n_regionkey, n_regionkey = n_nationkey"),
