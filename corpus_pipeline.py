@@ -45,8 +45,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample that matches the target weights of sources, languages and topics."""
-    return mix_sources(docs.select(*COLUMNS))
+    """A sample that matches the target weights of sources, languages and topics; a document may come several times."""
+    return mix_sources(docs.select(*COLUMNS), repeats=True)
 
 
 STAGES = [

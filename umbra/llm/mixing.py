@@ -7,6 +7,11 @@ kept with its cell's calibrated probability ``min(1, c * weight)``, where ``c``
 makes the expected tokens ``keep_share`` of all tokens; the draw is a hash of
 the document's id, so it is repeatable and needs no shuffle.
 
+The cut at 1 takes tokens from the cells that the targets raise most, so the
+sample falls short of the targets wherever ``c * weight`` is above 1.  With
+``repeats`` nothing is cut: a document comes ``c * weight`` times on average, in
+whole copies, and the expected tokens meet ``keep_share`` and the targets.
+
 Targets: a map from value to share for a margin, or else the margin's own token
 counts to the power ``temperature``, which flattens them.  Only the proportions
 within a margin matter.  DataFrame functions only; the text is read twice and
@@ -86,19 +91,26 @@ def _scale(cells: DataFrame, keep_share: float) -> float:
         c = new
 
 
+def _level(cells: DataFrame, keep_share: float) -> float:
+    """The ``c`` at which sum(tokens * c * weight) is ``keep_share`` of all tokens."""
+    total, weighted = cells.agg(F.sum("tokens"), F.sum(F.col("tokens") * F.col("weight"))).first()
+    return keep_share * total / weighted if total and weighted else 0.0
+
+
 def mix_sources(
     docs: DataFrame,
     targets: Mapping[str, Mapping[str, float]] | None = None,
     keep_share: float = KEEP_SHARE,
     temperature: float = TEMPERATURE,
     seed: str = "mix",
+    repeats: bool = False,
     topic: Column | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
     lang_col: str = "lang",
 ) -> DataFrame:
-    """The sampled rows of ``docs`` with all their columns, then ``mix_topic``, ``mix_tokens`` and ``mix_probability``."""
+    """The sampled rows of ``docs`` with all their columns, then ``mix_topic``, ``mix_tokens`` and ``mix_probability`` (with ``repeats`` the expected copies of the row)."""
     topic = default_topic(F.coalesce(F.col(text_col), F.lit(""))) if topic is None else topic
     docs = docs.select(*(c for c in docs.columns if not c.startswith("mix_")))
     own = docs.withColumns(
@@ -112,8 +124,11 @@ def mix_sources(
     keys = ["mix_source", "mix_lang", "mix_topic"]
     cells = own.groupBy(*(F.col(k).alias(m) for k, m in zip(keys, MARGINS))).agg(F.sum("mix_tokens").alias("tokens"))
     raked = written(rake(written(cells, "cells"), targets, temperature), "weights")
-    c = _scale(raked, keep_share)
-    odds = raked.select(*(F.col(m).alias(k) for k, m in zip(keys, MARGINS)), F.least(F.lit(1.0), F.col("weight") * c).alias("mix_probability"))
+    c = _level(raked, keep_share) if repeats else _scale(raked, keep_share)
+    share = F.col("weight") * c
+    if not repeats:
+        share = F.least(F.lit(1.0), share)
+    odds = raked.select(*(F.col(m).alias(k) for k, m in zip(keys, MARGINS)), share.alias("mix_probability"))
     if raked.count() <= BROADCAST_CELLS:
         joined = own.join(F.broadcast(odds), keys)
     else:
@@ -121,4 +136,11 @@ def mix_sources(
         joined = own.withColumn("mix_salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS))).join(spread, [*keys, "mix_salt"])
     name = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(seed))
     draw = F.conv(F.substring(F.md5(name.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
-    return joined.filter(draw < F.col("mix_probability")).select(*docs.columns, "mix_topic", "mix_tokens", "mix_probability")
+    named = [*docs.columns, "mix_topic", "mix_tokens", "mix_probability"]
+    if not repeats:
+        return joined.filter(draw < F.col("mix_probability")).select(*named)
+    # rows without tokens don't count towards a target, so they are never repeated
+    share = F.when(F.col("mix_tokens") > 0, F.col("mix_probability")).otherwise(F.least(F.lit(1.0), F.col("mix_probability")))
+    copies = (F.floor(share) + F.when(draw < share - F.floor(share), 1).otherwise(0)).cast("int")
+    counted = joined.select(*named, copies.alias("mix_copies")).filter("mix_copies > 0")
+    return counted.select(*named, F.explode(F.sequence(F.lit(1), "mix_copies")).alias("mix_copy")).select(*named)
