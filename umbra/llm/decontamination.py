@@ -8,13 +8,11 @@ item of L words if it lies within ``tolerance * L`` word edits of it.
    unless enough of its word pairs occur in items of that length.  A table from
    word pair to item lengths tells; it loses no leak of up to ``tolerance * L``
    replaced, added or dropped words.
-2. *CGK embedding.*  A random walk copies the window's words, staying or moving
-   on by a random bit of (step, word); strings within a small edit distance
-   become strings with a small Hamming distance, as the walks meet again.
-3. *Bit sampling.*  Each walk is hashed at a few random steps, many times over;
-   windows and items that agree on a sample are candidates.  ``WALKS`` and
-   ``SAMPLES`` are set for a recall above 0.99 at the tolerance.
-4. *Verification.*  The exact word edit distance between the item and the best
+2. *Pieces.*  An item with ``e`` edits allowed falls into ``e + 1`` pieces of
+   words; one of them stands unchanged in every leak, at most ``e`` words away
+   from its place.  A window is a candidate for the items of which a piece lies
+   there; no leak is lost.
+3. *Verification.*  The exact word edit distance between the item and the best
    passage that starts at the window's start.
 
 The benchmark is the stated query set.  It is used in blocks of at most
@@ -39,10 +37,10 @@ from umbra.llm.kernels import Words, blocks, mix, utf8
 
 TOLERANCE = 0.2
 MIN_WORDS = 8
-WALKS, SAMPLES, PICKS = 4, 12, 3
 BLOCK = 4 << 20
+#: Pairs of a window and an item that are verified at once.
+VERIFY = 8192
 ITEMS_PER_BLOCK = 20_000
-_SALT = np.uint64(0x9E3779B97F4A7C15)
 _END = np.uint64(0x1F83D9ABFB41BD6B)
 
 
@@ -54,27 +52,23 @@ def _pairs(h: np.ndarray) -> np.ndarray:
     return mix(h[:-1] * np.uint64(0xD1342543DE82EF95) + h[1:])
 
 
-def _walk_keys(tokens: np.ndarray, length: int) -> np.ndarray:
-    """Keys, (windows, WALKS * SAMPLES), of windows of ``length`` word hashes each, (windows, length)."""
-    rows, steps = len(tokens), 3 * length // 2
-    padded = np.concatenate((tokens, np.full((rows, 1), _END)), axis=1)
-    at_row, keys = np.arange(rows), np.empty((rows, WALKS * SAMPLES), np.uint64)
-    rng = np.random.default_rng(length)
-    for walk in range(WALKS):
-        salts = mix((np.arange(steps, dtype=np.uint64) + np.uint64(1 + 100_003 * walk)) * _SALT) | np.uint64(1)
-        copied, at = np.empty((rows, steps), np.uint64), np.zeros(rows, np.int64)
-        for step in range(steps):
-            word = padded[at_row, at]
-            copied[:, step] = word
-            at += ((word * salts[step]) >> np.uint64(63)).astype(np.int64)
-            np.minimum(at, length, out=at)
-        for s in range(SAMPLES):
-            picks = np.sort(rng.choice(steps, PICKS, replace=False))
-            key = mix(np.full(rows, walk * SAMPLES + s + 1, np.uint64))
-            for p in picks:
-                key = mix(key * np.uint64(0x9FB21C651E98DF25) + copied[:, p] + np.uint64(int(p)))
-            keys[:, walk * SAMPLES + s] = key
-    return keys
+def _pieces(length: int, edits: int) -> list[tuple[int, int]]:
+    """Start and length of the pieces of an item."""
+    bounds = [length * i // (edits + 1) for i in range(edits + 2)]
+    return [(a, b - a) for a, b in zip(bounds, bounds[1:])]
+
+
+def _piece_keys(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the ``n`` words from each place in ``at`` on."""
+    key = np.full(at.size, n, np.uint64)
+    for i in range(n):
+        key = mix(key * np.uint64(0x9FB21C651E98DF25) + h[np.minimum(at + i, h.size - 1)])
+    return key
+
+
+def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The whole numbers of all ranges of ``n`` from ``first`` on, one range after the other."""
+    return np.arange(int(n.sum())) + np.repeat(first - (np.cumsum(n) - n), n)
 
 
 def _best_passage(items: np.ndarray, passages: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +93,7 @@ def _best_passage(items: np.ndarray, passages: np.ndarray, edits: int) -> tuple[
 
 
 class _Index:
-    """Of one block of items: a table from word pair to item lengths, and sorted sample keys for each length.
+    """Of one block of items: a table from word pair to item lengths, and sorted piece keys for each length.
 
     A table entry has a bit for each class of lengths; with over 64 lengths several share a bit.
     """
@@ -121,10 +115,14 @@ class _Index:
             hashes = np.array([h for _, h in found])
             for h in hashes:
                 self.table[(_pairs(h) >> self.shift).astype(np.int64)] |= np.uint64(1 << n % 64)
-            keys = _walk_keys(hashes, length).ravel()
-            owner = np.repeat(np.arange(len(found)), WALKS * SAMPLES)
-            order = np.argsort(keys, kind="stable")
-            self.lengths.append((np.uint64(1 << n % 64), length, np.array([i for i, _ in found]), hashes, keys[order], owner[order]))
+            cuts = _pieces(length, _edits(length, tolerance))
+            tables = []
+            for size in sorted({m for _, m in cuts}):
+                begins = np.array([a for a, m in cuts if m == size])
+                keys = _piece_keys(hashes.ravel(), (np.arange(len(found))[:, None] * length + begins).ravel(), size)
+                order = np.argsort(keys, kind="stable")
+                tables.append((size, keys[order], order // begins.size, begins[order % begins.size]))
+            self.lengths.append((np.uint64(1 << n % 64), length, np.array([i for i, _ in found]), hashes, tables))
 
     def _starts(self, at: np.ndarray, length: int) -> np.ndarray:
         """Starts of windows of ``length`` words with enough of the word pairs that begin at ``at``."""
@@ -135,7 +133,24 @@ class _Index:
         lo = np.maximum(last - (length - 2), 0)
         near = lo <= first
         lo, size = lo[near], (first - lo)[near] + 1
-        return np.unique(np.arange(int(size.sum())) + np.repeat(lo - (np.cumsum(size) - size), size))
+        return np.unique(_ranges(lo, size))
+
+    def _candidates(self, h: np.ndarray, start: np.ndarray, length: int, n_items: int, tables: list) -> np.ndarray:
+        """Pairs of a window (by its place in ``start``) and an item with a piece in its place, as place * n_items + item."""
+        edits = _edits(length, self.tolerance)
+        low = np.maximum(start - edits, 0)
+        low[1:] = np.maximum(low[1:], start[:-1] + length + edits)  # every word of the windows once
+        places = _ranges(low, np.maximum(np.minimum(start + length + edits, h.size) - low, 0))
+        found = []
+        for size, keys, owner, begins in tables:
+            mine = _piece_keys(h, places, size)
+            a, b = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
+            n = b - a
+            hit = _ranges(a, n)
+            zero = np.repeat(places, n) - begins[hit]
+            a, b = np.searchsorted(start, zero - edits, "left"), np.searchsorted(start, zero + edits, "right")
+            found.append(np.unique(_ranges(a, b - a) * n_items + np.repeat(owner[hit], b - a)))
+        return np.unique(np.concatenate(found))
 
     def search(self, w: Words, text: np.ndarray):
         """Rows (text, item, start word, words, distance) of a block's texts."""
@@ -146,32 +161,20 @@ class _Index:
         masks[text[:-1] != text[1:]] = 0
         known = np.flatnonzero(masks)
         masks = masks[known]
-        powers = mix(np.arange(1, 1 + max((x[1] for x in self.lengths), default=0), dtype=np.uint64)) | np.uint64(1)
-        for bit, length, items, hashes, keys, owner in self.lengths:
+        for bit, length, items, hashes, tables in self.lengths:
             edits = _edits(length, self.tolerance)
             start = self._starts(known[(masks & bit) != 0], length)
             for part in np.array_split(start, -(-start.size // 4096)) if start.size else ():
-                at = part[:, None] + np.arange(length)
-                own = np.where(at < end[part][:, None], h[np.minimum(at, h.size - 1)], _END)
-                # copies and repeated words make equal windows
-                _, one, same = np.unique((own * powers[:length]).sum(1), return_index=True, return_inverse=True)
-                mine = _walk_keys(own[one], length)[same].ravel()
-                a, b = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
-                n = b - a
-                if not n.any():
-                    continue
-                hit = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                rows = np.repeat(np.arange(mine.size) // (WALKS * SAMPLES), n)
-                both = np.unique(rows * len(items) + owner[hit])
-                rows, k = both // len(items), both % len(items)
-                begin = part[rows]
-                wide = begin[:, None] + np.arange(length + edits)
-                passage = np.where(wide < end[begin][:, None], h[np.minimum(wide, h.size - 1)], _END)
-                far, size = _best_passage(hashes[k], passage, edits)
-                size = np.minimum(size, end[begin] - begin)
-                for x in np.flatnonzero(far <= edits):
-                    s = int(begin[x])
-                    yield int(text[s]), int(items[k[x]]), s - int(w.word_off[text[s]]), int(size[x]), int(far[x])
+                both = self._candidates(h, part, length, len(items), tables)
+                for some in np.array_split(both, -(-both.size // VERIFY)) if both.size else ():
+                    k, begin = some % len(items), part[some // len(items)]
+                    wide = begin[:, None] + np.arange(length + edits)
+                    passage = np.where(wide < end[begin][:, None], h[np.minimum(wide, h.size - 1)], _END)
+                    far, size = _best_passage(hashes[k], passage, edits)
+                    size = np.minimum(size, end[begin] - begin)
+                    for x in np.flatnonzero(far <= edits):
+                        s = int(begin[x])
+                        yield int(text[s]), int(items[k[x]]), s - int(w.word_off[text[s]]), int(size[x]), int(far[x])
 
 
 def _scan(index):
