@@ -8,7 +8,9 @@ rates and an elastic-net penalty, which leaves most of them at zero; a
 temperature fitted on rows kept out of training calibrates the probabilities.
 
 The model is fitted on a bounded sample: ``FIT_DOCS`` labelled documents that
-come first by a hash of the id.  Every whole text is scored.
+come first by a hash of the id, and the first ``FIT_LANG`` of every language, so
+that none is missed.  Document frequencies count all rows that may be learnt
+from.  Every whole text is scored.
 
 Cases: null texts and texts without a letter are ``und`` with score 0; languages
 never seen in training are never predicted; without any labelled row all is
@@ -23,10 +25,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from umbra.llm.kernels import blocks, utf8
 
 FIT_DOCS = 3_000
+FIT_LANG = 50
 BITS = 14
 BUCKETS = 1 << BITS
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.05, 3
@@ -113,8 +117,8 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return p / p.sum(axis=-1, keepdims=True)
 
 
-def fit(rows: list[tuple[str | None, str]]) -> LanguageModel | None:
-    """A model from (text, language); every fifth row sets the temperature only."""
+def fit(rows: list[tuple[str | None, str]], seen: np.ndarray, total: int) -> LanguageModel | None:
+    """A model from (text, language) and the number of texts, of ``total``, that have each feature; every fifth row of a language sets the temperature only."""
     raw, off = utf8(pa.array([t or "" for t, _ in rows], pa.large_string()))
     texts = []
     for lo, hi in blocks(off, BLOCK):
@@ -125,18 +129,16 @@ def fit(rows: list[tuple[str | None, str]]) -> LanguageModel | None:
         return None
     languages = sorted({lang for _, lang in rows})
     y = np.array([languages.index(lang) for _, lang in rows])
-    seen = np.zeros(BUCKETS)
     counts = [_vector(p, None) for p, _ in rows]
-    for at, _ in counts:
-        seen[at] += 1
-    idf = np.log((1 + len(rows)) / (1 + seen)) + 1
+    idf = np.log((1 + total) / (1 + seen)) + 1
     data = []
     for at, x in counts:
         x = x * idf[at]
         data.append((at, x / (np.linalg.norm(x) or 1.0)))
     k = len(languages)
     z, n = np.zeros((BUCKETS + 1, k)), np.zeros((BUCKETS + 1, k))
-    train = [i for i in range(len(rows)) if i % 5 != 4 or len(rows) < 50]
+    nth = np.array([int((y[:i] == y[i]).sum()) for i in range(len(rows))])
+    train = [i for i in range(len(rows)) if nth[i] % 5 != 4 or len(rows) < 50]
 
     def weights(at):
         zz = z[at]
@@ -156,7 +158,7 @@ def fit(rows: list[tuple[str | None, str]]) -> LanguageModel | None:
             n[at] += g * g
     w = weights(np.arange(BUCKETS + 1))
     model = LanguageModel(languages, idf, w[:-1], w[-1])
-    held = [i for i in range(len(rows)) if i % 5 == 4] or train
+    held = [i for i in range(len(rows)) if nth[i] % 5 == 4] or train
     logits = np.array([data[i][1] @ model.weights[data[i][0]] + model.bias for i in held])
     loss = lambda t: -np.log(np.maximum(_softmax(logits / t)[np.arange(len(held)), y[held]], 1e-12)).mean()
     model.temperature = float(min(np.geomspace(0.05, 5.0, 60), key=loss))
@@ -181,13 +183,41 @@ def _apply(model):
 
 
 def train_languages(docs: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", limit: int = FIT_DOCS) -> LanguageModel | None:
-    """A model from the labelled documents that ``allowed`` lets in, at most ``limit`` of them."""
+    """A model from the labelled documents that ``allowed`` lets in: ``limit`` of them, and ``FIT_LANG`` of each language."""
     named = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & allowed)
-    some = named.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).orderBy(F.xxhash64("id"), "id").limit(limit)
-    # limit bounds the ids that are broadcast and the texts that are collected
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(some.dropDuplicates(["id"])), "id").collect()
-    rows.sort(key=lambda r: (str(r.id)[::-1], r.text or ""))
-    return fit([(r.text, r.lang) for r in rows[:limit]])
+    ids = named.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"))
+    first = ids.orderBy("h", "id").limit(limit)
+    # Spark cuts each task's rows to the first of every language before they meet, so a hot language is no burden
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
+    chosen = first.unionAll(ids.withColumn("n", nth).filter(F.col("n") <= FIT_LANG).drop("n")).select("id", "lang").distinct()
+    # the bounds hold for the ids that are broadcast and the texts that are collected
+    texts = named.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"))
+    rows = texts.join(F.broadcast(chosen), ["id", "lang"]).groupBy("id", "lang").agg(F.min("text").alias("text")).collect()
+    rows.sort(key=lambda r: (str(r.id)[::-1], r.lang, r.text or ""))
+    seen, total = _frequencies(named.select(F.col(text_col).cast("string").alias("text")))
+    return fit([(r.text, r.lang) for r in rows], seen, total)
+
+
+def _count(batches):
+    """Number of texts with each feature, and under ``BUCKETS`` of all that have a letter."""
+    seen = np.zeros(BUCKETS + 1, np.int64)
+    for batch in batches:
+        raw, off = utf8(batch.column(0))
+        for lo, hi in blocks(off, BLOCK):
+            points, to = letters(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+            for a, b in zip(to[:-1], to[1:]):
+                if points[a:b].any():
+                    seen[:-1] += np.bincount(grams(points[a:b]), minlength=BUCKETS) > 0
+                    seen[-1] += 1
+    at = np.flatnonzero(seen)
+    yield pa.record_batch({"feature": pa.array(at, pa.int32()), "n": pa.array(seen[at], pa.int64())})
+
+
+def _frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
+    seen = np.zeros(BUCKETS + 1)
+    for r in texts.mapInArrow(_count, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect():
+        seen[r.feature] = r.n
+    return seen[:-1], int(seen[-1])
 
 
 def identify_languages(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
