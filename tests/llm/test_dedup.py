@@ -7,9 +7,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from umbra.llm import minhash
+from umbra.llm import kernels, minhash
 from umbra.llm.components import components
-from umbra.llm.kernels import Words, blocks, narrow, utf8, widen, window_hashes, window_starts
+from umbra.llm.kernels import Words, blocks, narrow, rabin_karp, utf8, widen, window_hashes, window_starts
 from umbra.llm.minhash import near_duplicates
 from umbra.llm.substring_dedup import substring_dedup
 
@@ -105,6 +105,8 @@ def test_empty_tables(make_docs):
 
 def test_near_duplicates_match_brute_force(make_docs, awkward, monkeypatch):
     monkeypatch.setattr(minhash, "COMPARE", 3)  # families and entries of several blocks
+    monkeypatch.setattr(minhash, "NEAR", 3)
+    monkeypatch.setattr(minhash, "PIVOTS", 1)
     base = " ".join(f"v{i}" for i in range(80)).split()
     r = random.Random(3)
     family = []
@@ -114,7 +116,7 @@ def test_near_duplicates_match_brute_force(make_docs, awkward, monkeypatch):
             w[r.randrange(80)] = f"z{r.randrange(1000)}"
         family.append((1000 + d, " ".join(w)))
     docs = corpus(4, 50) + [(d, t) for d, t, *_ in awkward if d != 7] + family + [(2000 + k, "the same text again and again") for k in range(20)]
-    got = near_duplicates(make_docs(docs)).collect()
+    got = near_duplicates(make_docs(docs), width=4).collect()
     assert sorted((tuple(x) for x in got), key=repr) == brute_components(docs)
 
 
@@ -157,3 +159,27 @@ def test_kernels():
     for values in ([0, 255], [256, 3], [1 << 40], []):
         v = np.array(values, np.uint64)
         assert widen(narrow(v), len(values)).tolist() == values
+
+
+def test_words_that_meet_under_powers_of_one_base(make_docs):
+    """A Thue-Morse word and its complement share a polynomial hash modulo 2**64 from 1,024 letters on."""
+    bits = [0]
+    while len(bits) < 2048:
+        bits += [1 - b for b in bits]
+    one, other = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    w = Words(*utf8(pa.array([f"{one} {other}"])))
+    assert len(set(w.hash.tolist())) == 2
+    many = rabin_karp(w.hash[np.array(bits)], 1024)  # the same pattern over words
+    assert len(set(many.tolist())) == len({tuple(bits[i : i + 1024]) for i in range(1025)})
+    rest = " ".join(f"r{i}" for i in range(12))
+    docs = [(1, f"{one} {rest}"), (2, f"{other} {rest}"), (3, f"{other} {rest}")]
+    assert [r.n_removed for r in substring_dedup(make_docs(docs), full=False).orderBy("doc_id").collect()] == [0, 0, 13]
+    assert sorted((tuple(x) for x in near_duplicates(make_docs(docs), width=4).collect()), key=repr) == brute_components(docs)
+
+
+def test_rabin_karp_is_the_polynomial():
+    h = np.random.default_rng(0).integers(0, 1 << 64, 60, dtype=np.uint64)
+    p = (1 << 61) - 1
+    for width in (1, 2, 3, 5, 8, 13, 60):
+        want = [sum(int(x) * pow(kernels._BASE, width - 1 - k, p) for k, x in enumerate(h[i : i + width])) % p for i in range(60 - width + 1)]
+        assert rabin_karp(h, width).tolist() == want

@@ -4,9 +4,10 @@ Every kernel works on one *block*: the UTF-8 bytes of several whole texts laid
 end to end, plus the byte offsets between them.  Blocks are cut between texts,
 never inside one, so a long text simply makes a larger block.
 
-Hashes are polynomial (Rabin-Karp) hashes modulo 2**64, taken from prefix sums:
-``sum(v[i] * B**i)`` over a range, shifted back by the inverse power of its
-start.  One pass therefore gives the hash of every word and of every window.
+A word's hash is the sum of its bytes, each times a pseudo-random multiplier of
+its place in the word; no two words meet by their structure, as they could under
+powers of one base modulo 2**64.  Windows of words have a Rabin-Karp hash modulo
+the prime 2**61 - 1, taken by doubling, and a second one of that first kind.
 """
 
 from __future__ import annotations
@@ -19,34 +20,8 @@ import pyarrow.compute as pc
 
 BLOCK_BYTES = 1 << 20
 
-_M64 = (1 << 64) - 1
-_BYTE_BASE = 0x9E3779B97F4A7C15 & _M64 | 1
-_WORD_BASE = 0xC2B2AE3D27D4EB4F & _M64 | 1
-
-
-def _inverse(base: int) -> int:
-    return pow(base, -1, 1 << 64)
-
-
-class _Powers:
-    """Powers of an odd base and of its inverse, grown on demand."""
-
-    def __init__(self, base: int):
-        self.base, self.up, self.down = base, np.ones(1, np.uint64), np.ones(1, np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if self.up.size < n:
-            n = 1 << (n - 1).bit_length()
-            made = []
-            for b in (self.base, _inverse(self.base)):
-                p = np.full(n, b, np.uint64)
-                p[0] = 1
-                made.append(np.multiply.accumulate(p))
-            self.up, self.down = made
-        return self.up, self.down
-
-
-_byte_powers, _word_powers = _Powers(_BYTE_BASE), _Powers(_WORD_BASE)
+_PRIME = np.uint64((1 << 61) - 1)
+_BASE = 0x0A3C59AC2B7F9E15
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -59,12 +34,21 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-_BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+#: Multipliers of the first places in a word; those of later ones are made when needed.
+_PLACES = 4096
+
+
+def _multipliers(at: np.ndarray) -> np.ndarray:
+    return mix(at.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0x2545F4914F6CDD1D)) | np.uint64(1)
+
+
+_FIRST = _multipliers(np.arange(_PLACES))
+_VALUES = np.arange(1, 257, dtype=np.uint64)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
-_LOWER_VALUES = _BYTE_VALUES[_LOWER]
+_LOWER_VALUES = _VALUES[_LOWER]
 #: Bytes of letters and digits; all of a character beyond ASCII counts as a letter.
 _NOT_ALNUM = np.ones(256, bool)
 _NOT_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -123,13 +107,21 @@ class Words:
             after = np.flatnonzero(raw[:-1] == 0xC3) + 1
             after = after[(raw[after] >= 0x80) & (raw[after] <= 0x9E) & (raw[after] != 0x97)]
             raw[after] += 0x20
-        up, self._down = _byte_powers.get(n + 1)
+        at = np.zeros(n, np.int64)
+        at[self.starts] = self.starts
+        at = np.arange(n) - np.maximum.accumulate(at)  # place in the word
         self._sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((_LOWER_VALUES if lower else _BYTE_VALUES)[raw] * up[:n], out=self._sums[1:])
-        self.hash = self.range_hash(self.starts, self.ends)
-
-    def range_hash(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return mix((self._sums[b] - self._sums[a]) * self._down[a])
+        terms = _FIRST[np.minimum(at, _PLACES - 1)]
+        if (late := np.flatnonzero(at >= _PLACES)).size:
+            terms[late] = _multipliers(at[late])
+        terms *= (_LOWER_VALUES if lower else _VALUES)[raw]
+        terms[gap] = 0
+        np.cumsum(terms, out=self._sums[1:])
+        self.hash = self.prefix_hash(self.ends)
+
+    def prefix_hash(self, to: np.ndarray) -> np.ndarray:
+        """Hash of each word's bytes before ``to``."""
+        return mix(self._sums[to] - self._sums[self.starts])
 
     def counts(self) -> np.ndarray:
         return np.diff(self.word_off)
@@ -138,15 +130,68 @@ class Words:
         return np.repeat(np.arange(self.n_texts), self.counts())
 
 
+def _times(a: np.ndarray, b: int) -> np.ndarray:
+    """``a * b`` modulo the prime, of values below it."""
+    low, high = np.uint64(b & 0x7FFFFFFF), np.uint64(b >> 31)
+    a0, a1 = a & np.uint64(0x7FFFFFFF), a >> np.uint64(31)
+    middle = a1 * low + a0 * high
+    a1 *= high
+    a1 <<= np.uint64(1)
+    a0 *= low
+    a1 += a0
+    a1 += middle >> np.uint64(30)
+    middle &= np.uint64(0x3FFFFFFF)
+    middle <<= np.uint64(31)
+    a1 += middle
+    return _reduced(a1)
+
+
+def _reduced(a: np.ndarray) -> np.ndarray:
+    a = (a & _PRIME) + (a >> np.uint64(61))
+    a -= _PRIME * (a >= _PRIME)
+    return a
+
+
+def rabin_karp(hashes: np.ndarray, width: int) -> np.ndarray:
+    """``sum(h[i + k] * B**(width - 1 - k))`` modulo 2**61 - 1 for every run of ``width`` entries, by doubling."""
+    part, size = _reduced(hashes), 1  # runs of 1, 2, 4 ... entries
+    out, done = None, 0
+    while True:
+        if width & size:  # these entries, then those that out holds
+            n = hashes.size - size - done + 1
+            out = part if out is None else _reduced(_times(part[:n], pow(_BASE, done, int(_PRIME))) + out[size : size + n])
+            done += size
+        if done == width:
+            return out
+        part = _reduced(_times(part[:-size], pow(_BASE, size, int(_PRIME))) + part[size:])
+        size *= 2
+
+
+def window_keys(hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of every run of ``width`` consecutive entries (across text borders too): the Rabin-Karp
+    hash, its 61 bits filled up with bits of the second; and a sum under multipliers of the place."""
+    n = hashes.size - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    second = np.zeros(n, np.uint64)
+    for k, m in enumerate(_multipliers(np.arange(width) + 1)):
+        second += hashes[k : k + n] * m
+    second = mix(second)
+    return mix(rabin_karp(hashes, width) << np.uint64(3) | second & np.uint64(7)), second
+
+
 def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
-    """Hash of every run of ``width`` consecutive entries (across text borders too)."""
-    n = hashes.size
-    if n < width:
-        return np.zeros(0, np.uint64)
-    up, down = _word_powers.get(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(hashes * up[:n], out=sums[1:])
-    return mix((sums[width:] - sums[: n - width + 1]) * down[: n - width + 1])
+    """The first hash of :func:`window_keys`."""
+    return window_keys(hashes, width)[0]
+
+
+def run_hashes(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hash of each run of entries from ``first`` to before ``last``; runs don't overlap."""
+    n = last - first
+    at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes[at + np.repeat(first, n)] * _multipliers(at))))
+    ends = np.cumsum(n)
+    return mix(sums[ends] - sums[ends - n])
 
 
 def window_starts(word_off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

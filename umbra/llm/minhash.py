@@ -12,33 +12,47 @@ Links are then confirmed on the full shingle sets.  No entry's pairs are listed:
 
 1. documents with equal sets are one class, represented by its smallest id;
 2. in each entry every representative is tried with the entry's smallest one.
-   Entries whose members aren't all joined that way are compared further, by
-   signature and in blocks; a block reports no more pairs than join its members.  The connected families that result have no pair within the
-   threshold across two of them;
-3. the shingle sets of a family's members meet once, in blocks of ``COMPARE``;
-   a family of several blocks also meets block by block.  A block compares the
-   members outside its largest component with all others, exactly, and reports
-   the links that join components.  A pair inside one component needs no trial,
-   as it can't change the result.
+   The components of those within the threshold are found.  An entry with more
+   than one of them is compared further, by signature: the members outside its
+   largest component with all members.  The connected *families* that result
+   have no pair within the threshold across two of them;
+3. the shingle sets of a family's members meet in blocks of ``COMPARE``, a few
+   members (``PIVOTS``) in every block of the family.  A block reports the exact
+   links that join its members.  In a family of several blocks, the members outside
+   its largest component then meet all others.  A pair inside one component needs
+   no trial, as it can't change the result.
+
+Members outside the largest component are dealt to cells with blocks of it, so a
+family or entry of n members with r outside makes about 2 n r / block rows.  Sets
+are 64-bit hashes of shingles: in a cell of ten million two differing shingles
+share one with a probability near 3e-6.
 
 Cases: null and blank texts have no shingles and no links (``component_id`` is
 their own id); fewer words than a shingle make one shingle; rows that repeat an
-id count as one document whose links are those of any of its rows.
+id count as one document whose links are those of any of its rows; rows without
+an id are linked with nothing; equal texts form one class whatever their number; a very
+long text counts as several members when blocks are dealt; an empty table gives
+no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
-from umbra.llm.components import components
+from umbra.llm.components import components, forest, joined
 from umbra.llm.kernels import Words, blocks, mix, utf8, window_hashes, window_starts
-from umbra.sources.scratch import written
+from umbra.sources.scratch import forget, written
 
+WIDTH = 5
 FIELDS, CHUNK, THRESHOLD = 40, 4, 19
-COMPARE = 2048  # members of a block
+COMPARE = 1024  # members of a block of shingle sets, of up to ``LOAD`` shingles each on average
+LOAD = 2048
+NEAR = 512  # members of a block of signatures
+PIVOTS = 8
 _SEEDS = mix(np.arange(1, FIELDS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
 _SHIFTS = mix(np.arange(1, FIELDS + 1, dtype=np.uint64) * np.uint64(0xE7037ED1A0B428DB))
 
@@ -121,11 +135,10 @@ def _shingle_sets(width: int):
             raw, off = utf8(batch.column(1))
             for lo, hi in blocks(off):
                 h, n = _sets(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], width)
-                # 48 bits of a hash tell apart the shingles of two documents
-                six = (h >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
                 ends = np.cumsum(n)
-                sets = pa.array([six[a:b].tobytes() for a, b in zip(ends - n, ends)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(2)[lo:hi], sets], names=["id", "family", "shingles"])
+                data = h.astype("<u8")
+                sets = pa.array([data[a:b].tobytes() for a, b in zip(ends - n, ends)], pa.binary())
+                yield pa.RecordBatch.from_arrays([c[lo:hi] for c in (batch.column(0), *batch.columns[2:])] + [sets], names=["id", "family", "n", "shingles"])
 
     return run
 
@@ -133,10 +146,8 @@ def _shingle_sets(width: int):
 def _postings(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of packed sets: sizes, start of each, shingle numbers, and for each number its owners (start, owner)."""
     sets = column.to_pylist()
-    size = np.array([len(x) // 6 for x in sets], np.int64)
-    wide = np.zeros((int(size.sum()), 8), np.uint8)
-    wide[:, :6] = np.frombuffer(b"".join(sets), np.uint8).reshape(-1, 6)
-    _, number = np.unique(wide.view("<u8").ravel(), return_inverse=True)
+    size = np.array([len(x) // 8 for x in sets], np.int64)
+    _, number = np.unique(np.frombuffer(b"".join(sets), "<u8"), return_inverse=True)
     owner = np.repeat(np.arange(size.size), size)[np.argsort(number, kind="stable")]
     start = np.concatenate(([0], np.cumsum(np.bincount(number)))) if number.size else np.zeros(1, np.int64)
     return size, np.cumsum(size) - size, number, start, owner
@@ -170,38 +181,40 @@ def _joins(table, percent: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
 
 
 def _settle(percent: int):
-    """Each member of a block with the smallest id of its component there."""
+    """Links from the smallest member of each component of a block to its others."""
 
     def run(table):
         label, _ = _joins(table, percent)
         ids = table.column("id").to_numpy()
         least = np.full(label.max() + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, label, ids)
-        return pa.table({"family": table.column("family"), "id": table.column("id"), "comp": pa.array(least[label], pa.int64()), "n": table.column("n")})
+        low = least[label]
+        apart = low != ids
+        return pa.table({"u": pa.array(low[apart], pa.int64()), "v": pa.array(ids[apart], pa.int64())})
 
     return run
 
 
 def _link(percent: int):
     def run(table):
-        ids = table.column("id").to_numpy()
-        pairs = [sorted((ids[i], ids[j])) for i, j in _joins(table, percent)[1]]
+        comp = table.column("comp").to_numpy()
+        pairs = [sorted((comp[i], comp[j])) for i, j in _joins(table, percent)[1]]
         return pa.table({"u": pa.array([p[0] for p in pairs], pa.int64()), "v": pa.array([p[1] for p in pairs], pa.int64())})
 
     return run
 
 
 def _across(threshold: int):
-    """Pairs within the threshold that join components, among the members of one block or across two."""
+    """Pairs of components with members within the threshold, among those of one block or across two."""
 
     def run(table):
         sig = _fields(table.column("sig").combine_chunks())
-        ids, side = table.column("id").to_numpy(), table.column("side").to_numpy()
-        label = np.unique(table.column("comp").to_numpy(), return_inverse=True)[1]
+        comp, side = table.column("comp").to_numpy(), table.column("side").to_numpy()
+        label = np.unique(comp, return_inverse=True)[1]
         kinds, many = np.unique(label, return_counts=True)
         base = int(np.flatnonzero(label == kinds[many.argmax()])[0])
         u, v = [], []
-        for i in range(len(ids)):
+        for i in range(len(comp)):
             if label[i] == label[base]:
                 continue
             near = (sig != sig[i]).sum(1) <= threshold
@@ -210,79 +223,115 @@ def _across(threshold: int):
                 near &= side != side[i]
             for k in np.unique(label[near]):
                 j = int(np.flatnonzero(near & (label == k))[0])
-                u.append(min(ids[i], ids[j]))
-                v.append(max(ids[i], ids[j]))
+                u.append(min(comp[i], comp[j]))
+                v.append(max(comp[i], comp[j]))
                 label[label == k] = label[i]
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return run
 
 
-def _squares(rows: DataFrame, group: str, diagonal: bool) -> DataFrame:
-    """Rows (``group``, id, n, ...) dealt to the blocks of a square, in pairs (i, j) with i < j, and i = j if ``diagonal``.
+def _cells(rows: DataFrame, group: str, load: Column, block: int) -> DataFrame:
+    """Rows (``group``, id, comp, ...) dealt to cells (i, j) so that every member outside its group's largest
+    component meets all others once; groups of one component are left out.
 
-    ``side`` is 0 or 1 for the first or second block of a pair, and 2 in a block of its own."""
-    rows = rows.withColumn("w", F.ceil(F.col("n") / COMPARE).cast("int"))
-    rows = rows.withColumn("at", F.pmod(F.xxhash64("id", group), F.col("w")).cast("int"))
-    # groups of one block stay as they are
-    whole = rows.filter("w = 1").withColumn("other", F.lit(0))
-    rows = rows.filter("w > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("w") - 1)))
-    rows = rows.unionByName(whole) if diagonal else rows
-    if not diagonal:
-        rows = rows.filter("at <> other")
-    side = F.when(F.col("at") == F.col("other"), 2).when(F.col("at") < F.col("other"), 0).otherwise(1)
-    return rows.withColumns({"i": F.least("at", "other"), "j": F.greatest("at", "other"), "side": side})
+    ``side`` is 0 or 1 for the first or second block of a cell, and 2 in a block of its own."""
+    kinds = rows.groupBy(group, "comp").agg(F.sum(load).alias("n"))
+    kinds = kinds.groupBy(group).agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    kinds = kinds.select(group, F.col("main.comp").alias("main"), F.ceil(F.col("n") / block).alias("whole"), F.ceil(F.col("main.n") / block).alias("w"), F.ceil((F.col("n") - F.col("main.n")) / block).alias("r"))
+    rows = rows.join(kinds, group)
+    main, one = F.col("comp") == F.col("main"), F.col("whole") == 1
+    at = F.pmod(F.xxhash64("id", group), F.when(main, F.col("w")).otherwise(F.col("r")))
 
+    def cell(i, j, side):
+        return F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"), F.lit(side).alias("side") if isinstance(side, int) else side.alias("side"))
+
+    def count(n):
+        return F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)
+
+    # blocks of other components have numbers below 0 when they come first
+    others = F.transform(count(F.col("r")), lambda k: cell(-1 - F.least(k, at), F.greatest(k, at), F.when(k == at, 2).when(at < k, 0).otherwise(1)))
+    with_main = F.transform(count(F.col("w")), lambda k: cell(k, at, 1))
+    dealt = F.when(one, F.array(cell(F.lit(0), F.lit(0), 2)))
+    dealt = dealt.when(main, F.transform(count(F.col("r")), lambda k: cell(at, k, 0))).otherwise(F.concat(others, with_main))
+    rows = rows.withColumn("cell", F.explode(dealt))
+    return rows.select(*(c for c in rows.columns if c not in ("main", "whole", "w", "r", "cell")), "cell.i", "cell.j", "cell.side")
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 80) -> DataFrame:
-    """One row per row of ``docs``: ``id_col``, ``n_shingles``, ``component_id``, ``kept`` (the smallest id of its component)."""
-    spark = docs.sparkSession
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sketch = written(own.mapInArrow(_sketch(width), "id long, n_shingles long, s1 long, s2 long, sig binary"), "sketch")
-    some = sketch.filter("n_shingles > 0 and id is not null")
-    same = ["n_shingles", "s1", "s2"]
-    classes = written(some.groupBy(*same).agg(F.min(F.struct("id", "sig")).alias("rep")), "classes")
-    member = some.select("id", *same).join(classes.select(*same, F.col("rep.id").alias("rep")), same).select("id", "rep")
-    reps = classes.select("rep.id", "rep.sig")
 
-    entries = reps.mapInArrow(_entries, "key long, id long")
+def _families(reps: DataFrame) -> DataFrame:
+    """``(node, component)`` of the representatives (id, sig) that other ones are near, directly or by others."""
+    entries = reps.select("id", "sig").mapInArrow(_entries, "key long, id long")
     shared = entries.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).filter("hub <> top").select("key", "hub")
     met = entries.join(shared, "key").select("key", "hub", "id")
     near = reps.select("id", "sig")
     hubs = reps.select(F.col("id").alias("hub"), F.col("sig").alias("hub_sig"))
     met = met.join(near, "id").join(hubs, "hub").mapInArrow(_within(THRESHOLD), "key long, hub long, id long, near boolean")
     met = written(met, "met")
-    close = met.filter("near and id <> hub").select(F.col("hub").alias("u"), F.col("id").alias("v")).distinct()
-    # what a member is joined to: its smallest near hub, and that hub's own
-    one = met.filter("near").groupBy("id").agg(F.min("hub").alias("one"))
-    two = one.join(one.select(F.col("id").alias("one"), F.col("one").alias("two")), "one", "left").select("id", F.coalesce("two", "one").alias("comp"))
-    state = met.select("key", "id").join(two, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-    mixed = state.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high and n > 2").select("key", "n")
-    state = _squares(state.join(mixed, "key").join(near, "id"), "key", diagonal=True)
-    far = state.select("key", "i", "j", "side", "id", "comp", "sig").groupBy("key", "i", "j").applyInArrow(_across(THRESHOLD), "u long, v long")
-    family = components(close.unionAll(far.distinct()))
+    family = written(components(met.filter("near and id <> hub").select("hub", "id"), "hub", "id"), "near")
+    # an entry of two, or one whose members are all near its hub, can't join more
+    open_ = met.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("near").alias("all")).filter("n > 2 and not all").select("key")
+    state = met.join(open_, "key").select("key", "id").join(family.select(F.col("node").alias("id"), F.col("component").alias("comp")), "id", "left")
+    state = written(state.select("key", "id", F.coalesce("comp", "id").alias("comp")), "open")
+    forget(met)
+    far = _cells(state, "key", F.lit(1), NEAR).join(near, "id").select("key", "i", "j", "side", "comp", "sig")
+    far = far.groupBy("key", "i", "j").applyInArrow(_across(THRESHOLD), "u long, v long")
+    far = written(far.mapInArrow(forest, "u long, v long"), "far", n=F.count(F.lit(1)))
+    forget(state)
+    if not far.observed["n"]:
+        return family
+    more = components(far)
+    alone = more.select("node").join(family, "node", "left_anti").select("node", F.col("node").alias("component"))
+    return written(joined(family.unionAll(alone), more), "families")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = 80) -> DataFrame:
+    """One row per row of ``docs``: ``id_col``, ``n_shingles``, ``component_id``, ``kept`` (the smallest id of its component)."""
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    sketch = written(own.mapInArrow(_sketch(width), "id long, n_shingles long, s1 long, s2 long, sig binary"), "sketch")
+    some = sketch.filter("n_shingles > 0 and id is not null")
+    same = ["n_shingles", "s1", "s2"]
+    classes = written(some.groupBy(*same).agg(F.min(F.struct("id", "sig")).alias("rep")), "classes")
+    reps = classes.select("rep.id", "rep.sig", "n_shingles")
+    of = classes.select(*same, F.col("rep.id").alias("rep"))
+    member = written(some.select("id", *same).join(of, same).select("id", "n_shingles", "rep"), "member")
+    # rows that repeat an id with another text are parts of one document
+    repeats = member.groupBy("id").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count(F.lit(1)).alias("n"))
+    parts = member.join(repeats.filter("low <> high").select("id", "low"), "id").select(F.col("low").alias("u"), F.col("rep").alias("v"))
 
+    family = _families(reps)
+    family = family.select(F.col("node").alias("id"), F.col("component").alias("family")).join(reps.select("id", F.greatest(F.lit(1.0), F.col("n_shingles") / LOAD).alias("load")), "id")
+    family = written(family.join(family.groupBy("family").agg(F.ceil(F.sum("load") / COMPARE).alias("n")), "family").select("id", "family", "n"), "family")
     # a plain merge join at every size: the text moves once, whatever the other side's size
-    sought = own.hint("merge").join(family.select(F.col("node").alias("id"), F.col("component").alias("family")), "id").select("id", "text", "family")
-    sets = written(sought.mapInArrow(_shingle_sets(width), "id long, family long, shingles binary").filter(F.length("shingles") > 0), "sets")
-    sizes = sets.groupBy("family").agg(F.count("*").alias("n"))
-    dealt = sets.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("id", "family"), F.ceil(F.col("n") / COMPARE)))
-    single = dealt.select("family", "block", "id", F.col("id").alias("comp"), F.lit(2).alias("side"), "n", "shingles")
-    settled = written(single.groupBy("family", "block").applyInArrow(_settle(percent), "family long, id long, comp long, n long"), "settled")
-    # rows that repeat an id with another text are parts of one document
-    repeats = member.groupBy("id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low <> high")
-    joined = member.join(repeats.select("id", "low"), "id").select(F.col("low").alias("u"), F.col("rep").alias("v"))
-    links = settled.filter("id <> comp").select(F.col("comp").alias("u"), F.col("id").alias("v")).unionAll(joined)
-    large = settled.filter(F.col("n") > COMPARE)
-    if not large.isEmpty():
-        state = _squares(sets.join(large.drop("family"), "id"), "family", diagonal=False)
-        more = state.select("family", "i", "j", "side", "id", "comp", "shingles").groupBy("family", "i", "j").applyInArrow(_link(percent), "u long, v long")
-        links = links.unionAll(more)
-    final = components(links)
-
-    ids = member.groupBy("id").agg(F.min("rep").alias("rep")).join(final.withColumnRenamed("node", "rep"), "rep", "left")
-    ids = ids.select("id", F.coalesce("component", "rep").alias("component_id"))
-    out = sketch.select("id", "n_shingles").join(ids, "id", "left").select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+    sought = own.hint("merge").join(family, "id").select("id", "text", "family", "n")
+    sets = written(sought.mapInArrow(_shingle_sets(width), "id long, family long, n long, shingles binary").filter(F.length("shingles") > 0), "sets", large=F.max("n"))
+    block = F.pmod(F.xxhash64("id", "family"), F.col("n"))
+    single = sets.select("family", block.alias("block"), "id", "shingles")
+    large = (sets.observed["large"] or 0) > 1
+    if large:  # some members of a large family go to each of its blocks
+        nth = F.row_number().over(Window.partitionBy("family").orderBy(F.xxhash64("id"), "id"))
+        pivots = family.filter("n > 1").withColumn("k", nth).filter(F.col("k") <= PIVOTS).select("id", "family")
+        pivots = sets.filter("n > 1").join(pivots, ["id", "family"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+        single = single.unionAll(pivots.filter(F.col("block") != block).select("family", "block", "id", "shingles"))
+    single = single.select("family", "block", "id", F.col("id").alias("comp"), F.lit(2).alias("side"), "shingles")
+    links = single.groupBy("family", "block").applyInArrow(_settle(percent), "u long, v long")
+    final = components(links.unionAll(parts))
+    if large:
+        final = written(final, "final")
+        state = sets.filter("n > 1").join(final.withColumnsRenamed({"node": "id", "component": "comp"}), "id", "left")
+        state = written(state.select("family", "id", F.coalesce("comp", "id").alias("comp"), "shingles"), "large")
+        state = _cells(state, "family", F.greatest(F.lit(1.0), F.length("shingles") / (8 * LOAD)), COMPARE)
+        more = state.select("family", "i", "j", "side", "comp", "shingles").groupBy("family", "i", "j").applyInArrow(_link(percent), "u long, v long")
+        more = components(more)
+        alone = more.select("node").join(final, "node", "left_anti").select("node", F.col("node").alias("component"))
+        final = joined(final.unionAll(alone), more)
+
+    final = final.select(F.col("node").alias("rep"), F.col("component").alias("component_id"))
+    out = member.join(final, "rep", "left").select("id", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
+    rest = sketch.filter("n_shingles = 0 or id is null").select("id", "n_shingles")
+    # an empty row may share its id with others
+    known = rest.join(member.select("id", "rep"), "id").groupBy("id").agg(F.min("rep").alias("rep")).join(final, "rep", "left")
+    rest = rest.join(known.select("id", F.coalesce("component_id", "rep").alias("component_id")), "id", "left")
+    out = out.unionAll(rest.select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id")))
     return out.withColumn("kept", F.col("component_id").eqNullSafe(F.col("id"))).withColumnRenamed("id", id_col)
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.kernels import Words, blocks, utf8
+from umbra.llm.kernels import Words, blocks, run_hashes, utf8
 from umbra.sources.scratch import written
 
 FIT_ROWS = 8_000
@@ -87,12 +87,12 @@ def statistics_of(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     line_off = np.searchsorted(line_starts, off)
     lines = np.maximum(np.diff(line_off), 1)
     got["log_lines"], got["line_words"] = np.log1p(np.diff(line_off)), words / lines
-    # a line is its words: hashes of the bytes up to its last word
+    # a line is its words
     last = np.searchsorted(w.starts, line_ends) - 1
     first = np.searchsorted(w.starts, line_starts)
     solid = last >= first
     h = np.zeros(line_starts.size, np.uint64)
-    h[solid] = w.range_hash(w.starts[first[solid]], w.ends[last[solid]])
+    h[solid] = run_hashes(w.hash, first[solid], last[solid] + 1)
     unlike, _ = _repeats(h, line_off)
     got["repeated_lines"] = 1 - unlike / lines
     got["repeated_lines"][np.diff(line_off) == 0] = 0

@@ -65,7 +65,7 @@ def _chain(w: Words) -> np.ndarray:
     out = np.empty((LEVELS, w.starts.size), np.uint64)
     size = w.ends - w.starts
     for k, n in enumerate(PREFIXES):
-        h = w.range_hash(w.starts, np.minimum(w.starts + n, w.ends)) ^ np.uint64(k + 1)
+        h = w.prefix_hash(np.minimum(w.starts + n, w.ends)) ^ np.uint64(k + 1)
         out[k] = h if k == 0 else np.where(size > PREFIXES[k - 1], h, out[k - 1])
     out[-1] = w.hash
     return out
