@@ -107,6 +107,7 @@ def test_near_duplicates_match_brute_force(make_docs, awkward, monkeypatch):
     monkeypatch.setattr(minhash, "COMPARE", 3)  # families and entries of several blocks
     monkeypatch.setattr(minhash, "NEAR", 3)
     monkeypatch.setattr(minhash, "PIVOTS", 1)
+    monkeypatch.setattr("umbra.llm.components.TASK", 16)
     base = " ".join(f"v{i}" for i in range(80)).split()
     r = random.Random(3)
     family = []
@@ -135,7 +136,9 @@ def test_threshold_of_signatures():
         assert any(len(v) == 2 for v in keys.values())
 
 
-def test_components(spark):
+@pytest.mark.parametrize("task", [2, 1 << 16])
+def test_components(spark, monkeypatch, task):
+    monkeypatch.setattr("umbra.llm.components.TASK", task)  # rounds of stars, or one task
     edges = [(i, i + 1) for i in range(30)] + [(100, 90), (90, 95), (7, 7), (100, 95)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(31)}, 90: 90, 95: 90, 100: 90}

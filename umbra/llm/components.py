@@ -1,7 +1,8 @@
 """Connected components of an edge table, by alternating large and small stars.
 
-Edges are first reduced to a spanning forest within each task.  A round is two
-steps, each an aggregation and a join on node ids; a hub with any number of
+Edges are first reduced to a spanning forest within each task, and those forests
+once more in tasks of about ``TASK`` edges; if one task holds them all, that is the
+result.  Otherwise rounds follow.  A round is two steps, each an aggregation and a join on node ids; a hub with any number of
 neighbours is reduced before the shuffle, and the join of a hot node can be split
 among tasks, as a write follows it.  Each step counts what it changes while it is
 written to the shared folder, so that no further job has to find the end, and its
@@ -22,6 +23,7 @@ from umbra.sources.scratch import forget, written
 
 #: Edges that a task holds before it reduces them, and nodes before it sends its forest on.
 HELD = 1 << 20
+TASK = 1 << 16
 
 
 def _roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +100,11 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """``(node, component)`` for each node of an edge; ``component`` is the smallest node reachable."""
     now = edges.select(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v")).filter("u <> v")
     now = written(now.mapInArrow(forest, "u long, v long"), "star", n=F.count(F.lit(1)))
-    still = 0 if now.observed["n"] else 2  # steps without a change, one after the other
+    tasks = -(-now.observed["n"] // TASK)
+    if tasks:
+        last, now = now, written(now.coalesce(tasks).mapInArrow(forest, "u long, v long"), "star")
+        forget(last)
+    still = 0 if tasks > 1 else 2  # steps without a change, one after the other
     step = _large_star
     while still < 2:
         last, now = now, written(step(now).mapInArrow(_distinct, "u long, v long, moved int"), "star", moved=F.sum("moved"))
@@ -107,7 +113,8 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         step = _small_star if step is _large_star else _large_star
     # each edge now leads from a node to its centre, either way round
     now = now.select(F.greatest("u", "v").alias("node"), F.least("u", "v").alias("component"))
-    return now.distinct().unionAll(now.select(F.col("component").alias("node"), "component").distinct())
+    nodes = now.distinct() if tasks > 1 else now
+    return nodes.unionAll(now.select(F.col("component").alias("node"), "component").distinct())
 
 
 def joined(labels: DataFrame, more: DataFrame) -> DataFrame:

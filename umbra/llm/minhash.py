@@ -294,9 +294,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = classes.select("rep.id", "rep.sig", "n_shingles")
     of = classes.select(*same, F.col("rep.id").alias("rep"))
     member = written(some.select("id", *same).join(of, same).select("id", "n_shingles", "rep"), "member")
-    # rows that repeat an id with another text are parts of one document
-    repeats = member.groupBy("id").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count(F.lit(1)).alias("n"))
-    parts = member.join(repeats.filter("low <> high").select("id", "low"), "id").select(F.col("low").alias("u"), F.col("rep").alias("v"))
+    twice = written(sketch.filter("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id"), "twice", n=F.count(F.lit(1)))
 
     family = _families(reps)
     family = family.select(F.col("node").alias("id"), F.col("component").alias("family")).join(reps.select("id", F.greatest(F.lit(1.0), F.col("n_shingles") / LOAD).alias("load")), "id")
@@ -314,9 +312,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         single = single.unionAll(pivots.filter(F.col("block") != block).select("family", "block", "id", "shingles"))
     single = single.select("family", "block", "id", F.col("id").alias("comp"), F.lit(2).alias("side"), "shingles")
     links = single.groupBy("family", "block").applyInArrow(_settle(percent), "u long, v long")
-    final = components(links.unionAll(parts))
+    if twice.observed["n"]:  # rows that repeat an id are parts of one document
+        mine = member.join(twice, "id")
+        links = links.unionAll(mine.join(mine.groupBy("id").agg(F.min("rep").alias("u")), "id").select("u", F.col("rep").alias("v")))
+    final = components(links)
     if large:
-        final = written(final, "final")
         state = sets.filter("n > 1").join(final.withColumnsRenamed({"node": "id", "component": "comp"}), "id", "left")
         state = written(state.select("family", "id", F.coalesce("comp", "id").alias("comp"), "shingles"), "large")
         state = _cells(state, "family", F.greatest(F.lit(1.0), F.length("shingles") / (8 * LOAD)), COMPARE)
@@ -327,10 +327,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     final = final.select(F.col("node").alias("rep"), F.col("component").alias("component_id"))
     out = member.join(final, "rep", "left").select("id", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
-    rest = sketch.filter("n_shingles = 0 or id is null").select("id", "n_shingles")
-    # an empty row may share its id with others
-    known = rest.join(member.select("id", "rep"), "id").groupBy("id").agg(F.min("rep").alias("rep")).join(final, "rep", "left")
-    rest = rest.join(known.select("id", F.coalesce("component_id", "rep").alias("component_id")), "id", "left")
+    rest = sketch.filter("n_shingles = 0 or id is null").select("id", "n_shingles", F.col("id").alias("component_id"))
+    if twice.observed["n"]:  # an empty row may share its id with others
+        known = member.join(twice, "id").groupBy("id").agg(F.min("rep").alias("rep")).join(final, "rep", "left")
+        rest = rest.drop("component_id").join(known.select("id", F.coalesce("component_id", "rep").alias("component_id")), "id", "left")
     out = out.unionAll(rest.select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id")))
     return out.withColumn("kept", F.col("component_id").eqNullSafe(F.col("id"))).withColumnRenamed("id", id_col)
 
