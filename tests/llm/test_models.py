@@ -1,8 +1,10 @@
 import random
+import time
 import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import SF
 from umbra.llm import decontamination, langid, quality, registry, toxicity
@@ -170,3 +172,29 @@ def test_all_exact_leaks_of_the_smallest_table(spark):
     items = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     got = {(r.doc_id, r.item_id) for r in registry.op9_benchmark_decontamination(spark, SF).collect()}
     assert {(d, i) for d, t in docs.items() for i, x in items.items() if x in t} <= got
+
+
+def test_segments_take_linear_time():
+    began = time.process_time()
+    assert len(toxicity.maximal_segments(np.tile([1.0, -1.5], 100_000))) == 100_000
+    assert len(toxicity.maximal_segments(np.tile([1.5, -1.0], 100_000))) == 1
+    assert len(toxicity.maximal_segments(np.concatenate((np.tile([1.0, -0.5], 50_000), np.tile([0.5, -1.0], 50_000))))) > 1
+    assert time.process_time() - began < 3
+
+
+def test_toxicity_on_held_out_labels(spark):
+    sf = "/root/testdata/sf0.1"
+    rows = registry.op10_toxicity(spark, sf).collect()
+    label = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    held = [(r.predicted, label[r.doc_id]) for r in rows if r.held_out and label.get(r.doc_id) is not None]
+    toxic, clean = [p for p, y in held if y == 1], [p for p, y in held if y == 0]
+    assert len(rows) == 10_000 and np.mean(toxic) >= 0.82 and np.mean(clean) <= 0.01
+
+
+def test_labelled_texts_are_bounded(spark, make_docs):
+    docs = make_docs([(1, f"text {i % 3}") for i in range(10_000)] + [(i, "x" * i) for i in range(2, 60)])
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(1, 60)], "doc_id long, quality int, toxic int")
+    rows = toxicity.labelled_sample(docs, labels, "toxic", F.lit(True), 1_000).collect()
+    assert sorted(r.id for r in rows) == list(range(1, 60)) and [r.text for r in rows if r.id == 1] == ["text 0"]
+    batch = pa.record_batch({"id": ["1", "2", "3"], "text": ["abcd", "é" * 9, "xyz"], "label": [0, 1, 0]})
+    assert [r[0] for r in toxicity.within_bytes([batch, batch], 10)] == ["1", "3", "3"]
