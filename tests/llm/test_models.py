@@ -253,3 +253,26 @@ def test_labelled_texts_are_bounded(spark, make_docs):
     assert sorted(r.id for r in rows) == list(range(1, 60)) and [r.text for r in rows if r.id == 1] == ["text 0"]
     batch = pa.record_batch({"id": ["1", "2", "3"], "text": ["abcd", "é" * 9, "xyz"], "label": [0, 1, 0]})
     assert [r[0] for r in toxicity.within_bytes([batch, batch], 10)] == ["1", "3", "3"]
+
+
+def test_models_on_repeated_ids_and_empty_tables(spark, make_docs):
+    r = random.Random(9)
+    rows = [(1, "same text here", "en")] * 5_000
+    rows += [(i, " ".join(r.choices(["abc", "bcd", "cde"] if i % 2 else ["xyz", "zyx", "yyz"], k=12)) + (" ##" * (i % 2)), "en" if i % 2 else "de") for i in range(2, 200)]
+    rows += [(1, "other words", None), (None, "xyz", "fr")]
+    docs = make_docs(rows)
+    model = langid.train_languages(docs, F.lit(True))
+    assert model.languages == ["de", "en"]
+    got = langid.identify_languages(docs, model).collect()
+    assert len(got) == len(rows) and np.mean([x.lang_pred == lang for x, (_, _, lang) in zip(got, rows) if lang]) > 0.98
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(1, 200)], "doc_id long, quality int, toxic int")
+    scored = quality.score_quality(docs, labels, F.lit(True)).collect()
+    assert len(scored) == len(rows)
+    assert np.mean([(x.score >= 0.5) == x.doc_id % 2 for x in scored if x.doc_id and x.doc_id > 1]) > 0.95
+    empty, none = make_docs([]), labels.limit(0)
+    assert langid.train_languages(empty, F.lit(True)) is None
+    assert langid.identify_languages(empty, model).collect() == []
+    assert quality.score_quality(empty, labels, F.lit(True)).collect() == []
+    assert {x.score for x in quality.score_quality(make_docs(rows[-5:]), none, F.lit(True)).collect()} == {0.0} or max(x.score for x in quality.score_quality(make_docs(rows[-5:]), none, F.lit(True)).collect()) < 1e-9
+    assert toxicity.train_toxicity(docs, none, F.lit(True)) is None
+    assert {x.score for x in toxicity.score_toxicity(docs.limit(3), None).collect()} == {0.0}

@@ -7,18 +7,24 @@ learnt by follow-the-regularised-leader (FTRL-proximal) with per-coordinate
 rates and an elastic-net penalty, which leaves most of them at zero; a
 temperature fitted on rows kept out of training calibrates the probabilities.
 
-The model is fitted on a bounded sample: ``FIT_DOCS`` labelled documents that
-come first by a hash of the id, and the first ``FIT_LANG`` of every language, so
-that none is missed.  Document frequencies count all rows that may be learnt
-from.  Every whole text is scored.
+The model is fitted in one task on a bounded sample: ``FIT_DOCS`` labelled
+documents that come first by a hash of the id, and the first ``FIT_LANG`` of every
+language, so that none is missed; one text for each id and language, as long as
+whole texts fit into ``FIT_BYTES``, the first of every language foremost.  Document
+frequencies count all rows that may be learnt from.  Every whole text is scored.
 
 Cases: null texts and texts without a letter are ``und`` with score 0; languages
 never seen in training are never predicted; without any labelled row all is
-``und``; equal texts get equal results.
+``und``; equal texts get equal results, so repeated rows do; of equally probable
+languages the first by name counts; a very long text is scored whole; rows with a
+null id are scored, but not learnt from; a row is learnt from only with a text and
+a language of its own; an empty table gives no rows; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,9 +34,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from umbra.llm.kernels import blocks, utf8
+from umbra.llm.toxicity import within_bytes
 
 FIT_DOCS = 3_000
 FIT_LANG = 50
+FIT_BYTES = 32 << 20
 BITS = 14
 BUCKETS = 1 << BITS
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.05, 3
@@ -184,18 +192,30 @@ def _apply(model):
 
 def train_languages(docs: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", limit: int = FIT_DOCS) -> LanguageModel | None:
     """A model from the labelled documents that ``allowed`` lets in: ``limit`` of them, and ``FIT_LANG`` of each language."""
-    named = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & allowed)
-    ids = named.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"))
+    named = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), allowed.alias("allowed"))
+    named = named.filter("lang is not null and text is not null and allowed").drop("allowed")
+    ids = named.filter("id is not null").select("id", "lang", F.xxhash64("id").alias("h"))
     first = ids.orderBy("h", "id").limit(limit)
     # Spark cuts each task's rows to the first of every language before they meet, so a hot language is no burden
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
-    chosen = first.unionAll(ids.withColumn("n", nth).filter(F.col("n") <= FIT_LANG).drop("n")).select("id", "lang").distinct()
-    # the bounds hold for the ids that are broadcast and the texts that are collected
-    texts = named.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.join(F.broadcast(chosen), ["id", "lang"]).groupBy("id", "lang").agg(F.min("text").alias("text")).collect()
-    rows.sort(key=lambda r: (str(r.id)[::-1], r.lang, r.text or ""))
-    seen, total = _frequencies(named.select(F.col(text_col).cast("string").alias("text")))
-    return fit([(r.text, r.lang) for r in rows], seen, total)
+    by_lang = ids.withColumn("n", nth).filter(F.col("n") <= FIT_LANG)
+    chosen = first.withColumn("n", F.lit(FIT_LANG + 1)).unionByName(by_lang).groupBy("id", "lang").agg(F.min("n").alias("n"))
+    # the bounds hold for the ids that are broadcast and the texts that meet in a task
+    texts = named.join(F.broadcast(chosen), ["id", "lang"]).groupBy("id", "lang", "n").agg(F.min("text").alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(_frequencies(named.select("text")))
+    one = texts.repartition(1).sortWithinPartitions("n", F.xxhash64("id"), "lang").select(F.col("id").cast("string").alias("id"), "text", "lang")
+    made = one.mapInArrow(_fit_task(shared), "model binary").first()
+    return pickle.loads(made.model) if made is not None else None
+
+
+def _fit_task(shared):
+    def run(batches):
+        rows = within_bytes(batches, FIT_BYTES)
+        if rows:
+            rows.sort(key=lambda r: (r[0][::-1], r[2], r[1]))
+            yield pa.record_batch({"model": pa.array([pickle.dumps(fit([(text, lang) for _, text, lang in rows], *shared.value))], pa.binary())})
+
+    return run
 
 
 def _count(batches):

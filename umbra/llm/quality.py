@@ -11,11 +11,14 @@
    statistics, so scoring runs inside Spark's generated code.
 
 The model is fitted on a bounded sample: statistics of the ``FIT_ROWS`` labelled
-rows that come first by a hash of the id.  Statistics and scores cover all texts.
-
-Cases: null and empty texts have statistics of zeros and a score like any other;
-without labels, or with one class only, every score is the share of that class
-(0 without labels).
+ids that come first by a hash of the id, one row for each.  Statistics and scores
+cover all texts.
+
+Cases: null and empty texts have statistics of zeros and a score like any other,
+a very long text too; equal texts get equal scores, so repeated rows and ties do;
+rows with a null id are scored, but not learnt from; without labels, or with one
+class only, every score is the share of that class (0 without labels); an empty
+table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -239,8 +242,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: s
     some = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & allowed)
     some = some.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("double").alias("label")).orderBy(F.xxhash64("id"), "id").limit(limit)
     # limit bounds the rows that are broadcast and collected
-    rows = stats.join(F.broadcast(some), "id").select("label", *STATISTICS, "id").collect()
-    rows.sort(key=lambda r: (r[-1], r[1:-1]))
-    data = np.array([r[:-1] for r in rows], float).reshape(len(rows), 1 + len(STATISTICS))
+    rows = stats.join(F.broadcast(some), "id").groupBy("id").agg(F.max("label").alias("label"), F.min(F.struct(*STATISTICS)).alias("s")).collect()
+    rows.sort(key=lambda r: r.id)
+    data = np.array([(r.label, *r.s) for r in rows], float).reshape(len(rows), 1 + len(STATISTICS))
     model = fit(data[:, 1:], data[:, 0])
     return stats.withColumn("score", model.score()).select(F.col("id").alias(id_col), "score", *STATISTICS)
