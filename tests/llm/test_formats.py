@@ -1,3 +1,4 @@
+import random
 import hashlib
 import os
 import zlib
@@ -113,3 +114,49 @@ def test_mixing(spark, make_docs, awkward):
     assert mix_sources(make_docs([])).collect() == []
     assert mix_sources(make_docs([(1, None), (2, "")])).count() <= 2
     assert mix_sources(docs, keep_share=1.0).count() == docs.count()
+
+
+def test_transport_random_damage_never_raises():
+    r = random.Random(12)
+    payload = bytes(r.randrange(256) for _ in range(40_000))
+    whole = transport.mux(payload)
+    units = {payload[i : i + transport.UNIT] for i in range(0, len(payload), transport.UNIT)}
+    for _ in range(300):
+        stream = bytearray(whole)
+        for _ in range(r.choice([1, 3, 30, 300])):
+            at = r.randrange(len(stream) // 188) * 188 + r.choice([1, 2, 3, 4, 5, 6, r.randrange(188)])
+            stream[at] = r.randrange(256)
+        if r.random() < 0.3:
+            del stream[r.randrange(len(stream)) :]
+        d = transport.Demux(bytes(stream))
+        assert isinstance(d.feature(), str) and len(d.payload) <= len(payload) + 188
+    for pointer in (200, 183, 255):  # a table packet whose pointer lies outside it
+        stream = bytearray(whole)
+        stream[4] = pointer
+        assert transport.Demux(bytes(stream)).length_errors
+    # one lost packet costs its own unit only
+    lost = transport.Demux(whole[: 188 * 20] + whole[188 * 21 :])
+    assert lost.counter_errors == 1 and all(lost.payload[i : i + 8192] in units for i in range(0, len(lost.payload), 8192))
+
+
+def test_transport_repeated_packets_and_discontinuities():
+    payload = bytes(range(256)) * 80
+    packets = [transport.mux(payload)[i : i + 188] for i in range(0, len(transport.mux(payload)), 188)]
+    twice = transport.Demux(b"".join(p + p if k % 3 == 0 else p for k, p in enumerate(packets)))
+    assert twice.payload == payload and twice.counter_errors == 0
+    thrice = transport.Demux(b"".join([*packets[:5], packets[5], packets[5], packets[5], *packets[6:]]))
+    assert thrice.counter_errors
+    # counters start anew at a signalled discontinuity, on the first packet of a unit
+    second = bytearray(transport.mux(payload))
+    second[188 * 2 + 5] |= 0x80
+    assert second[188 * 2 + 4] >= 7
+    both = transport.Demux(transport.mux(payload)[:-188] + transport.mux(payload)[-188:] + bytes(second[188 * 2 :]))
+    assert both.payload == payload * 2 and both.counter_errors == 0
+
+
+def test_transport_empty_table_and_batches(make_docs, monkeypatch):
+    assert transport.read(transport.store(make_docs([]))).collect() == []
+    monkeypatch.setattr(transport, "BATCH", 100)
+    rows = transport.read(transport.store(make_docs([(i, "x" * (i * 37 % 200)) for i in range(40)]))).collect()
+    assert sorted((r.doc_id, r.n_bytes) for r in rows) == [(i, i * 37 % 200) for i in range(40)]
+    assert list(transport._parts([50, 60, 500, 1, 1])) == [(0, 1), (1, 2), (2, 3), (3, 5)]
