@@ -160,3 +160,15 @@ def test_transport_empty_table_and_batches(make_docs, monkeypatch):
     rows = transport.read(transport.store(make_docs([(i, "x" * (i * 37 % 200)) for i in range(40)]))).collect()
     assert sorted((r.doc_id, r.n_bytes) for r in rows) == [(i, i * 37 % 200) for i in range(40)]
     assert list(transport._parts([50, 60, 500, 1, 1])) == [(0, 1), (1, 2), (2, 3), (3, 5)]
+
+
+def test_chats_without_id_and_of_many_turns(spark):
+    rows = [(None, k % 3, "user", f"alone {k % 5}") for k in range(40)] + [(None, None, None, None), (None, 0, "user", "turn 0")]
+    rows += [(1, k, "user", f"turn {k}") for k in range(20_000)] + [(2, k, "user", f"turn {k}") for k in range(19_999)]
+    rows += [(3, 0, "user", "x" * 1_000_000), (3, 1, "user", "y")]
+    got = {(r.conv_id, r.n_turns): r.chat for r in format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect() if r.conv_id}
+    assert set(got) == {(1, 20_000), (3, 2)}
+    assert got[1, 20_000] == "".join(f"<|user|>\nturn {k}<|end|>\n" for k in range(20_000)) and len(got[3, 2]) > 1_000_000
+    alone = format_chats(spark.createDataFrame(rows[:42], "conv_id long, turn long, role string, text string")).collect()
+    assert sorted(r.chat for r in alone) == sorted(["<||>\n<|end|>\n", "<|user|>\nturn 0<|end|>\n", *(f"<|user|>\nalone {k}<|end|>\n" for k in range(5))])
+    assert all(r.conv_id is None and r.n_turns == 1 for r in alone)
