@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from umbra.llm.kernels import Words, blocks, mix, utf8
+from umbra.llm.kernels import Words, blocks, by_batch, mix, utf8
 from umbra.sources.scratch import written
 
 TOLERANCE = 0.2
@@ -295,7 +295,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     found = None
     for more, index in _indexes(docs.sparkSession, benchmark, item_col, item_text_col, tolerance):
-        rows = own.mapInArrow(_scan(index), "id long, item_id long, distance long, start_word long, n_words long")
+        rows = own.mapInArrow(by_batch(_scan(index)), "id long, item_id long, distance long, start_word long, n_words long")
         rows = written(rows, "leaks") if more else rows
         found = rows if found is None else found.unionAll(rows)
     best = F.min(F.struct("distance", "start_word", "n_words")).alias("best")
@@ -305,6 +305,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", tolerance: float = TOLERANCE) -> DataFrame:
     """The rows of ``docs`` that leak no item, with all their columns and without a shuffle."""
     for more, index in _indexes(docs.sparkSession, benchmark, item_col, item_text_col, tolerance):
-        docs = docs.mapInArrow(_drop(index, docs.columns.index(text_col)), docs.schema)
+        docs = docs.mapInArrow(by_batch(_drop(index, docs.columns.index(text_col))), docs.schema)
         docs = written(docs, "clean") if more else docs
     return docs

@@ -12,7 +12,8 @@ the prime 2**61 - 1, taken by doubling, and a second one of that first kind.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,52 @@ _PRIME = np.uint64((1 << 61) - 1)
 _BASE = 0x0A3C59AC2B7F9E15
 
 
+try:
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library
+    _trim = None
+
+
+def give_back() -> None:
+    """Hand free memory back to the system: a Python worker outlives its stage, idle beside those of the next ones."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def by_batch(run: Callable) -> Callable:
+    """``run``, a generator over batches that keeps nothing from one to the next, with memory given back after each."""
+
+    def one(batches):
+        for batch in batches:
+            yield from run(iter((batch,)))
+            del batch
+            give_back()
+
+    return one
+
+
+def by_group(run: Callable) -> Callable:
+    """``run``, a function of a group (with or without its key), with memory given back after each."""
+
+    def one(table):
+        out = run(table)
+        give_back()
+        return out
+
+    def keyed(key, table):
+        out = run(key, table)
+        give_back()
+        return out
+
+    def both(key, left, right):
+        out = run(key, left, right)
+        give_back()
+        return out
+
+    return {1: one, 2: keyed, 3: both}[run.__code__.co_argcount]
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser that spreads all 64 bits."""
     h = h ^ (h >> np.uint64(33))
@@ -107,13 +154,17 @@ class Words:
             after = np.flatnonzero(raw[:-1] == 0xC3) + 1
             after = after[(raw[after] >= 0x80) & (raw[after] <= 0x9E) & (raw[after] != 0x97)]
             raw[after] += 0x20
-        at = np.zeros(n, np.int64)
+        kind = np.int32 if n < 1 << 31 else np.int64
+        at = np.zeros(n, kind)
         at[self.starts] = self.starts
-        at = np.arange(n) - np.maximum.accumulate(at)  # place in the word
+        np.maximum.accumulate(at, out=at)
+        np.subtract(np.arange(n, dtype=kind), at, out=at)  # place in the word
         self._sums = np.zeros(n + 1, np.uint64)
-        terms = _FIRST[np.minimum(at, _PLACES - 1)]
-        if (late := np.flatnonzero(at >= _PLACES)).size:
-            terms[late] = _multipliers(at[late])
+        late = np.flatnonzero(at >= _PLACES)
+        far = _multipliers(at[late])
+        at[late] = 0
+        terms = _FIRST[at]
+        terms[late] = far
         terms *= (_LOWER_VALUES if lower else _VALUES)[raw]
         terms[gap] = 0
         np.cumsum(terms, out=self._sums[1:])

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from umbra.llm.kernels import blocks, utf8
+from umbra.llm.kernels import blocks, by_batch, utf8
 from umbra.llm.toxicity import within_bytes
 
 FIT_DOCS = 3_000
@@ -245,4 +245,4 @@ def identify_languages(docs: DataFrame, model: LanguageModel | None, id_col: str
     shared = docs.sparkSession.sparkContext.broadcast(model)
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = dict(own.dtypes)["id"]
-    return own.mapInArrow(_apply(shared), f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return own.mapInArrow(by_batch(_apply(shared)), f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from umbra.llm.components import components, forest, joined
-from umbra.llm.kernels import Words, blocks, mix, utf8, window_hashes, window_starts
+from umbra.llm.kernels import Words, blocks, by_batch, by_group, mix, utf8, window_hashes, window_starts
 from umbra.sources.scratch import forget, written
 
 WIDTH = 5
@@ -260,12 +260,12 @@ def _cells(rows: DataFrame, group: str, load: Column, block: int) -> DataFrame:
 
 def _families(reps: DataFrame) -> DataFrame:
     """``(node, component)`` of the representatives (id, sig) that other ones are near, directly or by others."""
-    entries = reps.select("id", "sig").mapInArrow(_entries, "key long, id long")
+    entries = reps.select("id", "sig").mapInArrow(by_batch(_entries), "key long, id long")
     shared = entries.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).filter("hub <> top").select("key", "hub")
     met = entries.join(shared, "key").select("key", "hub", "id")
     near = reps.select("id", "sig")
     hubs = reps.select(F.col("id").alias("hub"), F.col("sig").alias("hub_sig"))
-    met = met.join(near, "id").join(hubs, "hub").mapInArrow(_within(THRESHOLD), "key long, hub long, id long, near boolean")
+    met = met.join(near, "id").join(hubs, "hub").mapInArrow(by_batch(_within(THRESHOLD)), "key long, hub long, id long, near boolean")
     met = written(met, "met")
     family = written(components(met.filter("near and id <> hub").select("hub", "id"), "hub", "id"), "near")
     # an entry of two, or one whose members are all near its hub, can't join more
@@ -274,7 +274,7 @@ def _families(reps: DataFrame) -> DataFrame:
     state = written(state.select("key", "id", F.coalesce("comp", "id").alias("comp")), "open")
     forget(met)
     far = _cells(state, "key", F.lit(1), NEAR).join(near, "id").select("key", "i", "j", "side", "comp", "sig")
-    far = far.groupBy("key", "i", "j").applyInArrow(_across(THRESHOLD), "u long, v long")
+    far = far.groupBy("key", "i", "j").applyInArrow(by_group(_across(THRESHOLD)), "u long, v long")
     far = written(far.mapInArrow(forest, "u long, v long"), "far", n=F.count(F.lit(1)))
     forget(state)
     if not far.observed["n"]:
@@ -287,7 +287,7 @@ def _families(reps: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: ``id_col``, ``n_shingles``, ``component_id``, ``kept`` (the smallest id of its component)."""
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sketch = written(own.mapInArrow(_sketch(width), "id long, n_shingles long, s1 long, s2 long, sig binary"), "sketch")
+    sketch = written(own.mapInArrow(by_batch(_sketch(width)), "id long, n_shingles long, s1 long, s2 long, sig binary"), "sketch")
     some = sketch.filter("n_shingles > 0 and id is not null")
     same = ["n_shingles", "s1", "s2"]
     classes = written(some.groupBy(*same).agg(F.min(F.struct("id", "sig")).alias("rep")), "classes")
@@ -301,7 +301,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     family = written(family.join(family.groupBy("family").agg(F.ceil(F.sum("load") / COMPARE).alias("n")), "family").select("id", "family", "n"), "family")
     # a plain merge join at every size: the text moves once, whatever the other side's size
     sought = own.hint("merge").join(family, "id").select("id", "text", "family", "n")
-    sets = written(sought.mapInArrow(_shingle_sets(width), "id long, family long, n long, shingles binary").filter(F.length("shingles") > 0), "sets", large=F.max("n"))
+    sets = written(sought.mapInArrow(by_batch(_shingle_sets(width)), "id long, family long, n long, shingles binary").filter(F.length("shingles") > 0), "sets", large=F.max("n"))
     block = F.pmod(F.xxhash64("id", "family"), F.col("n"))
     single = sets.select("family", block.alias("block"), "id", "shingles")
     large = (sets.observed["large"] or 0) > 1
@@ -311,7 +311,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pivots = sets.filter("n > 1").join(pivots, ["id", "family"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
         single = single.unionAll(pivots.filter(F.col("block") != block).select("family", "block", "id", "shingles"))
     single = single.select("family", "block", "id", F.col("id").alias("comp"), F.lit(2).alias("side"), "shingles")
-    links = single.groupBy("family", "block").applyInArrow(_settle(percent), "u long, v long")
+    links = single.groupBy("family", "block").applyInArrow(by_group(_settle(percent)), "u long, v long")
     if twice.observed["n"]:  # rows that repeat an id are parts of one document
         mine = member.join(twice, "id")
         links = links.unionAll(mine.join(mine.groupBy("id").agg(F.min("rep").alias("u")), "id").select("u", F.col("rep").alias("v")))
@@ -320,7 +320,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         state = sets.filter("n > 1").join(final.withColumnsRenamed({"node": "id", "component": "comp"}), "id", "left")
         state = written(state.select("family", "id", F.coalesce("comp", "id").alias("comp"), "shingles"), "large")
         state = _cells(state, "family", F.greatest(F.lit(1.0), F.length("shingles") / (8 * LOAD)), COMPARE)
-        more = state.select("family", "i", "j", "side", "comp", "shingles").groupBy("family", "i", "j").applyInArrow(_link(percent), "u long, v long")
+        more = state.select("family", "i", "j", "side", "comp", "shingles").groupBy("family", "i", "j").applyInArrow(by_group(_link(percent)), "u long, v long")
         more = components(more)
         alone = more.select("node").join(final, "node", "left_anti").select("node", F.col("node").alias("component"))
         final = joined(final.unionAll(alone), more)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.kernels import Words, blocks, run_hashes, utf8
+from umbra.llm.kernels import Words, blocks, by_batch, run_hashes, utf8
 from umbra.sources.scratch import written
 
 FIT_ROWS = 8_000
@@ -132,7 +132,7 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``id`` and the statistics of every whole text."""
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = dict(own.dtypes)["id"]
-    return own.mapInArrow(_measure, f"id {kind}, " + ", ".join(f"{s} double" for s in STATISTICS))
+    return own.mapInArrow(by_batch(_measure), f"id {kind}, " + ", ".join(f"{s} double" for s in STATISTICS))
 
 
 Rule = tuple[tuple[int, bool, float], ...]  # (statistic, at most?, threshold), all of which hold

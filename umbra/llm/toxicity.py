@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.kernels import Words, blocks, mix, utf8
+from umbra.llm.kernels import Words, blocks, by_batch, give_back, mix, utf8
 
 FIT_DOCS = 5_000
 PREFIXES = (4, 5, 6, 8)
@@ -327,7 +327,7 @@ def _keep(model, at: int, threshold: float):
 def drop_toxic(docs: DataFrame, model: ToxicityModel | None, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, with all their columns and without a shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_keep(shared, docs.columns.index(text_col), threshold), docs.schema)
+    return docs.mapInArrow(by_batch(_keep(shared, docs.columns.index(text_col), threshold)), docs.schema)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -335,7 +335,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel | None, id_col: str = "
     shared = docs.sparkSession.sparkContext.broadcast(model)
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = dict(own.dtypes)["id"]
-    return own.mapInArrow(_apply(shared), f"id {kind}, score double, passages {_SEGMENT}").withColumnRenamed("id", id_col)
+    return own.mapInArrow(by_batch(_apply(shared)), f"id {kind}, score double, passages {_SEGMENT}").withColumnRenamed("id", id_col)
 
 
 def within_bytes(batches, most: int, text: int = 1) -> list[tuple]:
@@ -354,7 +354,10 @@ def _fit_task(batches):
     rows = within_bytes(batches, FIT_BYTES)
     if rows:
         rows.sort(key=lambda r: (r[0][::-1], r[1]))
-        yield pa.record_batch({"model": pa.array([pickle.dumps(fit([(text, label) for _, text, label in rows]))], pa.binary())})
+        model = pickle.dumps(fit([(text, label) for _, text, label in rows]))
+        del rows
+        give_back()
+        yield pa.record_batch({"model": pa.array([model], pa.binary())})
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text", limit: int = FIT_DOCS) -> ToxicityModel | None:

@@ -29,6 +29,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from umbra.llm.kernels import by_batch
+
 PACKET, SYNC = 188, 0x47
 PMT_PID, MEDIA_PID, PROGRAM = 0x1000, 0x0100, 1
 PRIVATE_DATA, PRIVATE_STREAM = 0x06, 0xBD
@@ -232,7 +234,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """``id_col``, ``n_bytes`` and ``media``: each text's UTF-8 bytes, zero-padded to 64, as a transport stream."""
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = dict(own.dtypes)["id"]
-    return own.mapInArrow(_store, f"id {kind}, n_bytes long, media binary").withColumnRenamed("id", id_col)
+    return own.mapInArrow(by_batch(_store), f"id {kind}, n_bytes long, media binary").withColumnRenamed("id", id_col)
 
 
 def _read(batches):
@@ -278,4 +280,4 @@ def read(stored: DataFrame, id_col: str = "doc_id", media_col: str = "media") ->
     own = stored.select(F.col(id_col).alias("id"), F.col("n_bytes"), F.col(media_col).alias("media"))
     kind = dict(own.dtypes)["id"]
     schema = f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, stamps array<struct<pts:long,random_access:boolean>>, counter_errors long"
-    return own.mapInArrow(_read, schema).withColumnRenamed("id", id_col)
+    return own.mapInArrow(by_batch(_read), schema).withColumnRenamed("id", id_col)
