@@ -3,6 +3,7 @@ import hashlib
 import os
 import zlib
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,7 +109,8 @@ def test_mixing(spark, make_docs, awkward):
     docs = make_docs(awkward + [(100 + k, f"a b c {k}", "en" if k % 3 else "de", f"s{k % 4}") for k in range(400)])
     kept = mix_sources(docs, keep_share=0.5)
     rows = kept.collect()
-    assert [c for c in docs.columns if c != "mix_topic"] == kept.columns[:-3] and 0 < len(rows) < 411
+    assert docs.columns == kept.columns[:-3] and kept.columns[-3:] == ["mix_topic_", "mix_tokens", "mix_probability"] and 0 < len(rows) < 411
+    assert {r.mix_topic for r in rows} == {"x"}
     assert sorted(map(str, rows)) == sorted(map(str, mix_sources(docs, keep_share=0.5).collect()))
     assert all(0 <= r.mix_probability <= 1 for r in rows)
     assert mix_sources(make_docs([])).collect() == []
@@ -172,3 +174,29 @@ def test_chats_without_id_and_of_many_turns(spark):
     alone = format_chats(spark.createDataFrame(rows[:42], "conv_id long, turn long, role string, text string")).collect()
     assert sorted(r.chat for r in alone) == sorted(["<||>\n<|end|>\n", "<|user|>\nturn 0<|end|>\n", *(f"<|user|>\nalone {k}<|end|>\n" for k in range(5))])
     assert all(r.conv_id is None and r.n_turns == 1 for r in alone)
+
+
+def test_mixing_under_salts(spark, make_docs, monkeypatch):
+    docs = make_docs([(k, f"a b c {k}" + " @" * (k % 3 == 0), "en" if k % 3 else "de", f"s{k % 40}") for k in range(500)] + [(None, "x", None, None)] * 3)
+    want = sorted(map(str, mix_sources(docs, repeats=True).collect()))
+    monkeypatch.setattr("umbra.llm.mixing.BROADCAST_CELLS", 10)
+    assert sorted(map(str, mix_sources(docs, repeats=True).collect())) == want and len(want) > 100
+
+
+def test_mixing_against_its_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = con.execute(registry.oracle_sql()["op5_source_mixing"]).fetchall()
+    got = registry.op5_source_mixing(spark, SF).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want)) and len(got) > 100
+
+
+def test_sampled_tokens_meet_the_targets(spark):
+    rows = registry.op5_source_mixing(spark, "/root/testdata/sf0.1").collect()
+    all_ = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("source", "lang", F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).alias("n")).collect()
+    total = sum(r.n_tokens * r.copies for r in rows)
+    assert abs(total / sum(r.n for r in all_) - 0.8) < 0.02
+    for margin in ("source", "lang"):
+        raised = {v: sum(r.n for r in all_ if r[margin] == v) ** 0.7 for v in {r[margin] for r in all_}}
+        for v, share in raised.items():
+            assert abs(sum(r.n_tokens * r.copies for r in rows if r[margin] == v) / total - share / sum(raised.values())) < 0.01

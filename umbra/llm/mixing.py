@@ -2,15 +2,15 @@
 
 Documents are counted into cells of (source, language, topic).  Cell weights
 are raked, one margin after the other, until the weighted tokens of every
-source, language and topic stand in the target proportions.  A document is then
-kept with its cell's calibrated probability ``min(1, c * weight)``, where ``c``
-makes the expected tokens ``keep_share`` of all tokens; the draw is a hash of
-the document's id, so it is repeatable and needs no shuffle.
+source, language and topic stand in the target proportions: cycles go on until
+within each margin all factors agree to ``TOLERANCE``, or ``CYCLES`` are done.  A
+document then has ``c * weight`` expected copies, where ``c`` makes the expected
+tokens ``keep_share`` of all tokens: that many whole copies, and one more with the
+rest as probability.  The draw is a hash of the document's id, so it is repeatable
+and needs no shuffle, and the expected tokens meet the targets.
 
-The cut at 1 takes tokens from the cells that the targets raise most, so the
-sample falls short of the targets wherever ``c * weight`` is above 1.  With
-``repeats`` nothing is cut: a document comes ``c * weight`` times on average, in
-whole copies, and the expected tokens meet ``keep_share`` and the targets.
+Without ``repeats`` the probability is cut at 1 instead, which takes tokens from the
+cells that the targets raise most, so the sample falls short of the targets there.
 
 Targets: a map from value to share for a margin, or else the margin's own token
 counts to the power ``temperature``, which flattens them.  Only the proportions
@@ -18,9 +18,12 @@ within a margin matter.  DataFrame functions only; the text is read twice and
 never shuffled: a cell table within ``BROADCAST_CELLS`` rows is broadcast, a
 larger one is joined under ``SALTS`` salts, so that a hot cell is spread.
 
-Cases: columns of ``docs`` named ``mix_...`` are replaced; a null source or language counts as the empty string; null and blank
-texts have no tokens and follow their cell; a margin value whose cells have no
-tokens keeps its weight; a value missing from given targets gets share 0.
+Cases: a null source or language counts as the empty string; null, blank and empty
+texts have no tokens and follow their cell, without extra copies; a very long text is
+one document, in or out as a whole; rows that repeat an id are drawn alike; ties are
+settled by the hash; a margin value whose cells have no tokens keeps its weight; a
+value missing from given targets gets share 0; an empty table gives no rows; all
+columns of ``docs`` are kept, and a new column whose name is taken has ``_`` added.
 """
 
 from __future__ import annotations
@@ -31,9 +34,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from umbra.sources.scratch import written
+from umbra.sources.scratch import forget, written
 
-CYCLES = 8
+CYCLES, TOLERANCE, AT_ONCE = 40, 1e-12, 2
 TEMPERATURE = 0.7
 KEEP_SHARE = 0.8
 BROADCAST_CELLS, SALTS = 50_000, 64
@@ -57,19 +60,29 @@ def _target(margin: str, targets: Mapping[str, Mapping[str, float]], temperature
     return share
 
 
-def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, temperature: float = TEMPERATURE, cycles: int = CYCLES) -> DataFrame:
+def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, temperature: float = TEMPERATURE, cycles: int = CYCLES, tolerance: float = TOLERANCE) -> DataFrame:
     """``cells`` (source, lang, topic, tokens) with a ``weight`` that fits all margins."""
     targets = targets or {}
     now = cells
     for m in MARGINS:
         now = now.withColumn(f"target_{m}", _target(m, targets, temperature))
     now = now.withColumn("weight", F.lit(1.0))
-    for cycle in range(cycles):
+    columns, last = now.columns, None
+    for cycle in range(1, cycles + 1):
         for m in MARGINS:
             have = F.sum(F.col("tokens") * F.col("weight")).over(Window.partitionBy(m))
-            now = now.withColumn("weight", F.when(have > 0, F.col("weight") * F.col(f"target_{m}") / have).otherwise(F.col("weight")))
-        if cycle % 4 == 3 and cycle + 1 < cycles:
-            now = written(now, "raked")
+            now = now.withColumn(f"have_{m}", have)
+            now = now.withColumn(f"factor_{m}", F.when(F.col(f"have_{m}") > 0, F.col(f"target_{m}") / F.col(f"have_{m}")))
+            now = now.withColumn("weight", F.col("weight") * F.coalesce(f"factor_{m}", F.lit(1.0)))
+        if cycle % AT_ONCE == 0 or cycle == cycles:  # small plans, and the end is seen while they are written
+            bounds = {f"{f.__name__}_{m}": f(f"factor_{m}") for m in MARGINS for f in (F.min, F.max)}
+            done = written(now, "raked", **bounds)
+            if last is not None:
+                forget(last)
+            last, now = done, done.select(*columns)
+            seen = done.observed
+            if all(not seen[f"max_{m}"] or seen[f"max_{m}"] <= (seen[f"min_{m}"] or 0) * (1 + tolerance) for m in MARGINS):
+                break
     return now.select(*MARGINS, "tokens", "weight")
 
 
@@ -97,50 +110,62 @@ def _level(cells: DataFrame, keep_share: float) -> float:
     return keep_share * total / weighted if total and weighted else 0.0
 
 
-def mix_sources(
+def _free(name: str, taken: list[str]) -> str:
+    while name.lower() in (c.lower() for c in taken):
+        name += "_"
+    return name
+
+
+def mix_copies(
     docs: DataFrame,
     targets: Mapping[str, Mapping[str, float]] | None = None,
     keep_share: float = KEEP_SHARE,
     temperature: float = TEMPERATURE,
     seed: str = "mix",
-    repeats: bool = False,
+    repeats: bool = True,
     topic: Column | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
     lang_col: str = "lang",
 ) -> DataFrame:
-    """The sampled rows of ``docs`` with all their columns, then ``mix_topic``, ``mix_tokens`` and ``mix_probability`` (with ``repeats`` the expected copies of the row)."""
+    """The rows of ``docs`` that are sampled: ``row`` (a struct of their columns), ``topic``, ``tokens``,
+    ``expected`` copies (without ``repeats`` the probability) and ``copies``."""
     topic = default_topic(F.coalesce(F.col(text_col), F.lit(""))) if topic is None else topic
-    docs = docs.select(*(c for c in docs.columns if not c.startswith("mix_")))
-    own = docs.withColumns(
-        {
-            "mix_source": F.coalesce(F.col(source_col).cast("string"), F.lit("")),
-            "mix_lang": F.coalesce(F.col(lang_col).cast("string"), F.lit("")),
-            "mix_topic": topic,
-            "mix_tokens": F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long"),
-        }
+    own = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
+        F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("name"),
+        F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"),
+        F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"),
+        topic.alias("topic"),
+        F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("tokens"),
     )
-    keys = ["mix_source", "mix_lang", "mix_topic"]
-    cells = own.groupBy(*(F.col(k).alias(m) for k, m in zip(keys, MARGINS))).agg(F.sum("mix_tokens").alias("tokens"))
-    raked = written(rake(written(cells, "cells"), targets, temperature), "weights")
+    cells = own.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens"))
+    raked = written(rake(written(cells, "cells"), targets, temperature), "weights", n=F.count(F.lit(1)))
     c = _level(raked, keep_share) if repeats else _scale(raked, keep_share)
     share = F.col("weight") * c
     if not repeats:
         share = F.least(F.lit(1.0), share)
-    odds = raked.select(*(F.col(m).alias(k) for k, m in zip(keys, MARGINS)), share.alias("mix_probability"))
-    if raked.count() <= BROADCAST_CELLS:
-        joined = own.join(F.broadcast(odds), keys)
+    odds = raked.select(*MARGINS, share.alias("expected"))
+    if raked.observed["n"] <= BROADCAST_CELLS:
+        joined = own.join(F.broadcast(odds), list(MARGINS))
     else:
-        spread = odds.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
-        joined = own.withColumn("mix_salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS))).join(spread, [*keys, "mix_salt"])
-    name = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(seed))
-    draw = F.conv(F.substring(F.md5(name.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
-    named = [*docs.columns, "mix_topic", "mix_tokens", "mix_probability"]
-    if not repeats:
-        return joined.filter(draw < F.col("mix_probability")).select(*named)
+        spread = odds.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        joined = own.withColumn("salt", F.pmod(F.xxhash64("name", "row"), F.lit(SALTS))).join(spread, [*MARGINS, "salt"])
+    draw = F.conv(F.substring(F.md5(F.concat("name", F.lit(seed)).cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
     # rows without tokens don't count towards a target, so they are never repeated
-    share = F.when(F.col("mix_tokens") > 0, F.col("mix_probability")).otherwise(F.least(F.lit(1.0), F.col("mix_probability")))
+    share = F.when(F.col("tokens") > 0, F.col("expected")).otherwise(F.least(F.lit(1.0), "expected"))
     copies = (F.floor(share) + F.when(draw < share - F.floor(share), 1).otherwise(0)).cast("int")
-    counted = joined.select(*named, copies.alias("mix_copies")).filter("mix_copies > 0")
-    return counted.select(*named, F.explode(F.sequence(F.lit(1), "mix_copies")).alias("mix_copy")).select(*named)
+    return joined.select("row", "topic", "tokens", "expected", copies.alias("copies")).filter("copies > 0")
+
+
+def mix_sources(docs: DataFrame, *args, repeats: bool = False, **options) -> DataFrame:
+    """The sampled rows of ``docs`` with all their columns, then ``mix_topic``, ``mix_tokens`` and ``mix_probability``
+    (with ``repeats`` the expected copies of the row, which comes as often as drawn); options as :func:`mix_copies` has."""
+    rows = mix_copies(docs, *args, repeats=repeats, **options)
+    if repeats:
+        rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
+    named, old = [], docs.columns
+    for new, c in (("mix_topic", "topic"), ("mix_tokens", "tokens"), ("mix_probability", "expected")):
+        named.append(F.col(c).alias(_free(new, old)))
+    return rows.select(*(F.col("row").getField(c).alias(c) for c in old), *named)

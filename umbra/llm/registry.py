@@ -13,7 +13,7 @@ from umbra.llm.decontamination import leaks
 from umbra.llm.langid import identify_languages, train_languages
 from umbra.llm.licenses import scan_licenses
 from umbra.llm.minhash import near_duplicates
-from umbra.llm.mixing import mix_sources
+from umbra.llm.mixing import mix_copies
 from umbra.llm.quality import score_quality
 from umbra.llm.substring_dedup import substring_dedup
 from umbra.llm.toxicity import fit_rows, score_toxicity, train_toxicity
@@ -42,8 +42,8 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = mix_sources(_table(spark, sf_dir, "documents"))
-    return kept.select("doc_id", "source", "lang", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"), F.round("mix_probability", 6).alias("probability"))
+    kept = mix_copies(_table(spark, sf_dir, "documents"))
+    return kept.select("row.doc_id", "row.source", "row.lang", "topic", F.col("tokens").alias("n_tokens"), F.round("expected", 6).alias("expected"), "copies")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,24 +141,24 @@ m AS (SELECT *, pow(sum(tok) OVER (PARTITION BY s), 0.7) AS ts, pow(sum(tok) OVE
              pow(sum(tok) OVER (PARTITION BY topic), 0.7) AS tt FROM r0)"""
 
 
-def _op5_sql() -> str:
+def _op5_sql(cycles: int = 30) -> str:
     steps, last = [], "m"
-    for k in range(8):
+    for k in range(cycles):
         for margin, target in (("s", "ts"), ("l", "tl"), ("topic", "tt")):
             name = f"{margin[0]}{k}x"
             have = f"sum(tok * w) OVER (PARTITION BY {margin})"
-            steps.append(f"{name} AS (SELECT s, l, topic, tok, ts, tl, tt, CASE WHEN {have} > 0 THEN w * {target} / {have} ELSE w END AS w FROM {last})")
+            steps.append(f"{name} AS MATERIALIZED (SELECT s, l, topic, tok, ts, tl, tt, CASE WHEN {have} > 0 THEN w * {target} / {have} ELSE w END AS w FROM {last})")
             last = name
     return f"""
 WITH {_CELL}, {", ".join(steps)},
-sorted AS (
-  SELECT *, coalesce(sum(tok) OVER (ORDER BY w DESC, s, l, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above,
-         sum(tok * w) OVER (ORDER BY w DESC, s, l, topic ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS below
-  FROM {last} WHERE tok > 0),
-c AS (SELECT max((0.8 * (SELECT sum(tok) FROM m) - above) / below) FILTER (WHERE (0.8 * (SELECT sum(tok) FROM m) - above) / below * w <= 1) AS c FROM sorted)
-SELECT t.doc_id, t.source, t.lang, t.topic, t.n_tokens, round(least(1.0, x.w * c.c), 6) AS probability
-FROM t JOIN {last} x ON x.s = t.s AND x.l = t.l AND x.topic = t.topic, c
-WHERE ('0x' || substr(md5(coalesce(t.doc_id::VARCHAR, '') || 'mix'), 1, 13))::BIGINT / 4503599627370496.0 < least(1.0, x.w * c.c)
+x AS (SELECT s, l, topic, w * 0.8 * (SELECT sum(tok) FROM m) / (SELECT sum(tok * w) FROM {last}) AS expected FROM {last}),
+d AS (
+  SELECT t.doc_id, t.source, t.lang, t.topic, t.n_tokens, x.expected,
+         CASE WHEN n_tokens > 0 THEN x.expected ELSE least(1.0, x.expected) END AS e,
+         ('0x' || substr(md5(coalesce(t.doc_id::VARCHAR, '') || 'mix'), 1, 13))::BIGINT / 4503599627370496.0 AS draw
+  FROM t JOIN x ON x.s = t.s AND x.l = t.l AND x.topic = t.topic)
+SELECT doc_id, source, lang, topic, n_tokens, round(expected, 6) AS expected, (floor(e) + CASE WHEN draw < e - floor(e) THEN 1 ELSE 0 END)::INTEGER AS copies
+FROM d WHERE floor(e) + CASE WHEN draw < e - floor(e) THEN 1 ELSE 0 END > 0
 """
 
 
