@@ -28,20 +28,20 @@ class Family(Enum):
 
 #: Declared type names of each family.
 _NAMES = {
-    Family.INTEGER: "INT INTEGER TINYINT SMALLINT MEDIUMINT BIGINT INT2 INT8",
-    Family.FLOAT: "REAL|DOUBLE|DOUBLE PRECISION|FLOAT",
-    Family.DECIMAL: "DECIMAL NUMERIC",
-    Family.BOOLEAN: "BOOLEAN BOOL",
-    Family.TEXT: "TEXT CLOB",
-    Family.STRING: "CHAR|CHARACTER|VARCHAR|VARYING CHARACTER|NCHAR|NATIVE CHARACTER|NVARCHAR",
-    Family.BINARY: "BLOB",
-    Family.DATE: "DATE",
-    Family.TIME: "TIME",
-    Family.DATETIME: "DATETIME",
-    Family.TIMESTAMP: "TIMESTAMP",
-    Family.JSON: "JSON",
+    Family.INTEGER: ("INT", "INTEGER", "TINYINT", "SMALLINT", "MEDIUMINT", "BIGINT", "INT2", "INT8"),
+    Family.FLOAT: ("REAL", "DOUBLE", "DOUBLE PRECISION", "FLOAT"),
+    Family.DECIMAL: ("DECIMAL", "NUMERIC"),
+    Family.BOOLEAN: ("BOOLEAN", "BOOL"),
+    Family.TEXT: ("TEXT", "CLOB"),
+    Family.STRING: ("CHAR", "CHARACTER", "VARCHAR", "VARYING CHARACTER", "NCHAR", "NATIVE CHARACTER", "NVARCHAR"),
+    Family.BINARY: ("BLOB",),
+    Family.DATE: ("DATE",),
+    Family.TIME: ("TIME",),
+    Family.DATETIME: ("DATETIME",),
+    Family.TIMESTAMP: ("TIMESTAMP",),
+    Family.JSON: ("JSON",),
 }
-_FAMILY = {name: family for family, names in _NAMES.items() for name in (names.split("|") if "|" in names else names.split())}
+_FAMILY = {name: family for family, names in _NAMES.items() for name in names}
 
 #: The cast target of each family in the source dialect.
 _CAST = {

@@ -10,6 +10,7 @@ from typing import Any
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from umbra.errors import ShadowError, UnknownSchema, UnsupportedSql, is_unknown_schema
 from umbra.functions.dialect import to_spark, with_names
@@ -17,7 +18,7 @@ from umbra.functions.types import lenient_sql
 from umbra.operators import mutations
 from umbra.plans import ddl, statements
 from umbra.plans.statements import QueryKind, classify, query_kind
-from umbra.plans.tokens import split_commas, split_statements, text_of, tick, tokenize
+from umbra.plans.tokens import close_of, split_commas, split_statements, text_of, tick, tokenize
 from umbra.sources import fixtures
 from umbra.sources.scratch import written
 from umbra.sources.store import Snapshot, Table, publish
@@ -58,7 +59,7 @@ class ShadowSession:
             if value is not None:
                 self.child.conf.set(key, value)
         self.snapshot = Snapshot()
-        self._changes: list[DataFrame] = []
+        self._changes: list[DataFrame | int] = []  # results of writes, or their numbers of rows once counted
         self._last_insert: tuple[DataFrame, str] | None = None
 
     # -- fixtures ---------------------------------------------------------------
@@ -170,10 +171,16 @@ class ShadowSession:
 
     def changes(self) -> int:
         """Rows affected by the last write."""
-        return self._changes[-1].count() if self._changes else 0
+        return self._counted(len(self._changes) - 1) if self._changes else 0
 
     def total_changes(self) -> int:
-        return sum(df.count() for df in self._changes)
+        return sum(self._counted(k) for k in range(len(self._changes)))
+
+    def _counted(self, k: int) -> int:
+        found = self._changes[k]
+        if not isinstance(found, int):
+            found = self._changes[k] = found.count()
+        return found
 
     def last_insert_rowid(self) -> int:
         if self._last_insert is None:
@@ -199,7 +206,14 @@ class ShadowSession:
     def _spark(self, text: str) -> str:
         if re.search(r"(?i)\b(last_insert_rowid|changes|total_changes)\s*\(\s*\)", text):
             text = "".join(self._counters(text))
-        return to_spark(text, self.snapshot.column_type)
+        return to_spark(text, self.snapshot.column_type, self._schema_of)
+
+    def _schema_of(self, query: str) -> T.StructType | None:
+        """The schema of a FROM item of a query, if it stands for itself."""
+        try:
+            return self.child.sql(self._spark(with_names(query))).schema
+        except (AnalysisException, ParseException, ShadowError):
+            return None
 
     def _counters(self, text: str) -> list[str]:
         """The text with the session's counters in place of their calls."""
@@ -296,14 +310,14 @@ class ShadowSession:
             key = self._conflict_key(definition, s.upsert.target)
             if s.upsert.nothing:
                 name = "IGNORE"
-                affected, after = mutations.insert_ignore(table, rows, [key] if key else keys)
+                affected, after = mutations.insert_ignore(table, rows, [key] if key and s.upsert.target else keys)
             else:
                 if key is None:
                     raise UnsupportedSql("ON CONFLICT needs a primary key or a unique constraint", sql)
                 name = "UPSERT"
                 assignments = [(definition.column(c) or _missing(c, s.table), self._spark(_unqualified(e, s.table))) for c, e in s.upsert.assignments]
                 where = self._spark(_unqualified(s.upsert.where, s.table)) if s.upsert.where else ""
-                affected, after = mutations.upsert(table, rows, key, assignments, where, self._check_unique_batch)
+                affected, after = mutations.upsert_in_order(table, rows, key, assignments, where)
         elif s.conflict == "IGNORE":
             name = "IGNORE"
             affected, after = mutations.insert_ignore(table, rows, keys)
@@ -340,11 +354,6 @@ class ShadowSession:
                 return key
         raise UnsupportedSql("ON CONFLICT names no primary key or unique constraint")
 
-    @staticmethod
-    def _check_unique_batch(rows: DataFrame, key) -> None:
-        if not rows.dropna(subset=list(key)).groupBy(*(F.col(tick(c)) for c in key)).count().filter("count > 1").isEmpty():
-            raise UnsupportedSql("One upsert names a key twice")
-
     @staticmethod
     def _check_constraints(after: DataFrame, definition: ddl.TableDef) -> None:
         """NOT NULL and uniqueness, in one aggregation each (strict sessions only)."""
@@ -366,12 +375,17 @@ class ShadowSession:
     def _chosen(self, s, table: Table, where: str, alias: str) -> tuple[Table, DataFrame | None, tuple[str, ...]]:
         """For ORDER BY and LIMIT: the table, the ids of the rows to change, and what identifies a row.
 
-        A primary key does; without one, rows are numbered and written once, so that numbers stay."""
+        A primary key does; without one, the place in a parquet file of a fixture; else rows are numbered and
+        written once, so that numbers stay."""
         if not (s.limit or s.order_by):
             return table, None, ()
         row_id, plain = table.definition.primary_key, table
         if not row_id:
-            numbered = written(table.df.withColumn("__umbra_row", F.monotonically_increasing_id()), "numbered")
+            try:
+                place = F.struct("_metadata.file_path", "_metadata.file_block_start", "_metadata.row_index").alias("__umbra_row")
+                numbered = table.df.select("*", place)
+            except AnalysisException:
+                numbered = written(table.df.withColumn("__umbra_row", F.monotonically_increasing_id()), "numbered")
             row_id = ("__umbra_row",)
             table = replace(table, df=numbered)
         source = f"{tick('__umbra_target')} AS {tick(alias or table.name)}"
@@ -396,7 +410,7 @@ class ShadowSession:
         target, chosen, row_id = self._chosen(s, table, where, s.alias)
         assignments = [(c, self._spark(e)) for c, e in s.assignments]
         run = self._run_with(s.with_clause, target, table)
-        affected, after = mutations.update(target, run, self._source(table, s.alias), assignments, where, chosen, row_id)
+        affected, after = mutations.update(target, run, self._source(table, s.alias), assignments, where, chosen, row_id, bool(_VOLATILE.search(sql)))
         names = [c for c in affected.columns if c != "__umbra_row"]
         return self._write(sql, kind, "UPDATE", table, affected.select(*map(tick, names)), after.drop("__umbra_row"))
 
@@ -422,7 +436,7 @@ class ShadowSession:
         where = self._spark(s.where) if s.where else ""
         target, chosen, row_id = self._chosen(s, table, where, s.alias)
         run = self._run_with(s.with_clause, target, table)
-        affected, after = mutations.delete(target, run, self._source(table, s.alias), where, chosen, row_id)
+        affected, after = mutations.delete(target, run, self._source(table, s.alias), where, chosen, row_id, bool(_VOLATILE.search(sql)))
         return self._write(sql, kind, "DELETE", table, affected.drop("__umbra_row"), after.drop("__umbra_row"))
 
     # -- virtual schema ---------------------------------------------------------
@@ -533,8 +547,18 @@ def _relations(spark: SparkSession, sql: str) -> set[tuple[str, ...]]:
 _AGGREGATES = {"COUNT", "SUM", "AVG", "MIN", "MAX", "LISTAGG", "ANY_VALUE", "FIRST", "LAST"}
 
 
+def _calls(sql: str, body: list) -> list[tuple[str, list]]:
+    """Aggregate calls of a select item: name and tokens of the arguments."""
+    found = []
+    for k, t in enumerate(body):
+        if t.upper in _AGGREGATES and k + 1 < len(body) and body[k + 1].text == "(":
+            found.append((t.upper, body[k + 2 : close_of(body, k + 1)]))
+    return found
+
+
 def _any_value(sql: str) -> str:
-    """Select items of an aggregate query that are neither aggregates nor grouped, as any value of their group."""
+    """Select items of an aggregate query that are neither aggregates nor grouped: of the row that has the minimum or
+    maximum if there is just one such aggregate, else as any value of their group."""
     tokens = tokenize(sql)
     start = next((i for i, t in enumerate(tokens) if t.is_("SELECT") and t.depth == 0), None)
     end = next((i for i, t in enumerate(tokens) if start is not None and i > start and t.is_("FROM") and t.depth == 0), None)
@@ -545,17 +569,21 @@ def _any_value(sql: str) -> str:
     if group is not None:
         stop = next((i for i, t in enumerate(tokens) if i > group and t.depth == 0 and t.is_("HAVING", "ORDER", "LIMIT", "WINDOW", "UNION")), len(tokens))
         grouped = {text_of(sql, p).lower() for p in split_commas(tokens[group + 2 : stop])}
-    items = []
-    for part in split_commas(tokens[start + 1 : end]):
+    parts, bodies = split_commas(tokens[start + 1 : end]), []
+    for part in parts:
         alias = next((k for k, t in enumerate(part) if t.is_("AS") and t.depth == 0), len(part))
-        body = part[:alias]
+        bodies.append((part[:alias], alias))
+    ends = [(name, inside) for body, _ in bodies for name, inside in _calls(sql, body) if name in ("MIN", "MAX")]
+    pick = f"{ends[0][0].lower()}_by" if len(ends) == 1 and ends[0][1] else ""
+    items = []
+    for part, (body, alias) in zip(parts, bodies):
         text = text_of(sql, body)
-        has = any(t.upper in _AGGREGATES and k + 1 < len(body) and body[k + 1].text == "(" for k, t in enumerate(body))
-        if has or text.lower() in grouped or all(t.kind in ("number", "string") for t in body):
+        if _calls(sql, body) or text.lower() in grouped or all(t.kind in ("number", "string") for t in body):
             items.append(text_of(sql, part))
         else:
             name = part[alias + 1].name if alias < len(part) else body[-1].name if body[-1].is_name else text
-            items.append(f"any_value({text}) AS {tick(name)}")
+            value = f"{pick}({text}, {text_of(sql, ends[0][1])})" if pick else f"any_value({text})"
+            items.append(f"{value} AS {tick(name)}")
     return f"{sql[: tokens[start].end]} {', '.join(items)} {sql[tokens[end].start :]}"
 
 
