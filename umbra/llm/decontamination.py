@@ -51,11 +51,11 @@ from umbra.sources.scratch import written
 TOLERANCE = 0.2
 MIN_WORDS = 8
 WALKS, SAMPLES, PICKS = 4, 12, 3
-BLOCK = 1 << 20
+BLOCK = 2 << 20
 #: Words of the windows that are looked up, or of the passages that are verified, at once.
 AT_ONCE = 1 << 18
 BLOCK_ITEMS = 2 << 20
-_SALT = np.uint64(0x9E3779B97F4A7C15)
+_SALT, _PICK = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x9FB21C651E98DF25)
 _END = np.uint64(0x1F83D9ABFB41BD6B)
 
 
@@ -96,10 +96,11 @@ def _walk_keys(tokens: np.ndarray, length: int) -> np.ndarray:
             at += ((word * salts[step]) >> np.uint64(63)).astype(np.int64)
             np.minimum(at, length, out=at)
         for s in range(SAMPLES):
-            key = mix(np.full(rows, walk * SAMPLES + s + 1, np.uint64))
+            # a sum under odd multipliers, mixed once: all picked words must agree
+            key = np.full(rows, walk * SAMPLES + s + 1, np.uint64)
             for p in np.sort(rng.choice(steps, min(PICKS, steps), replace=False)):
-                key = mix(key * np.uint64(0x9FB21C651E98DF25) + copied[p] + np.uint64(int(p)))
-            keys[:, walk * SAMPLES + s] = key
+                key = key * _PICK + copied[p]
+            keys[:, walk * SAMPLES + s] = mix(key)
     return keys
 
 
