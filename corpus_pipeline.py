@@ -2,6 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir); between stages the rows are written as
 Parquet and read again.  All but the last return the columns of ``documents``.
+
+Cases, in every stage: null and blank texts stay (unless the last stage draws them
+out); very long texts are worked on whole; rows that repeat an id are kept or dropped
+together by near-dedup, and are no repeats of one another in substring dedup; rows
+with a null id are kept, as the largest ids; ties are settled as the operators say;
+an empty table stays empty; other columns than those of ``documents`` are left out.
 """
 
 from __future__ import annotations
