@@ -87,6 +87,7 @@ QUERIES: dict[str, Query] = {
     "read_cte_multi": _same("nation region", "WITH a AS (SELECT * FROM region WHERE r_regionkey < 3), b AS (SELECT n.n_name, a.r_name FROM nation n JOIN a ON n.n_regionkey = a.r_regionkey) SELECT r_name, count(*) AS n FROM b GROUP BY r_name"),
     "read_cte_shadowing": _same("nation", "WITH nation AS (SELECT 1 AS one) SELECT one FROM nation"),
     "read_cte_recursive": Query("region", "WITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM r WHERE n < 20) SELECT n FROM r", "SELECT range::INTEGER AS n FROM range(1, 21)"),
+    "read_cte_recursive_union": Query("nation", "WITH RECURSIVE r(k) AS (SELECT 3 UNION SELECT (k * 7) % 25 FROM r JOIN nation ON n_nationkey = k) SELECT k FROM r", "WITH RECURSIVE r(k) AS (SELECT 3::BIGINT UNION SELECT (k * 7) % 25 FROM r JOIN nation ON n_nationkey = k) SELECT k::INTEGER AS k FROM r"),
     "read_union": _same("nation region", "SELECT n_regionkey AS k FROM nation UNION SELECT r_regionkey FROM region"),
     "read_union_all": _same("nation region", "SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region"),
     "read_intersect": _same("customer supplier", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier"),
