@@ -1,22 +1,24 @@
 """License scans by conditional compression.
 
-A match may differ in at most ``TOLERANCE`` of the template's words, so one of a
-few pieces of the template stands in it word for word.  Wherever such a piece
-does, for every template and however the text is wrapped, the words around it are a
-candidate block.  It is compressed alone and with the template as a Zstandard raw
-dictionary, which ranks candidates by the bytes saved, and the template's words are
-aligned with the block's: a candidate is confirmed if few enough words are missing
-or put in.  Where confirmed notices overlap, the one with the most words of its
-template stays, then the one with the fewest differences, then the first in rank: by
-rank alone, notices that differ in one word are taken for one another now and then.
-The rank leaves no candidate out.
+The words around cue words are candidate blocks, however the text is wrapped.  A
+block is compressed alone and with each template as a Zstandard raw dictionary; the
+bytes that the dictionary saves rank the templates.  All are then confirmed by their
+wording, the best ranked first: a template's words are aligned with the text's
+wherever it can stand, and it is confirmed if few enough words are missing or put in.
+A match may differ in at most ``TOLERANCE`` of the template's words, so one of a few
+pieces of the template stands in it word for word: the alignment begins at those, and
+the longest or most telling word of each is the cue.  Where confirmed notices overlap,
+the one with the most words of its template stays, then the one with the fewest
+differences, then the first in rank: by rank alone, notices that differ in one word
+are taken for one another now and then.  The rank leaves no template out.
 
 Cases: null and empty texts have no matches; several notices in one text give
 several rows, equal ones too, and repeated rows give theirs again; a template that
 is part of a longer matching one on the same words gives way to it; of notices
-that tie in all this the first by name counts; in a very long text only the words around a piece are
-aligned; null ids are ids like others; an empty table gives no rows; other columns
-are ignored, whatever their names.
+that tie in all this the first by name counts; a run of cues longer than ``BLOCK`` is
+compressed in parts, and a notice across two parts is aligned whole; in a very long
+text only the words around a piece are aligned; null ids are ids like others; an empty
+table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -67,8 +69,10 @@ TEMPLATES = {
 
 CUES = r"licen[sc]e|copyright|permission|redistribut|reserved|domain|warrant|commons|software"
 TOLERANCE = 0.1
-#: Characters on both sides of a notice that are compressed with it.
+#: Characters on both sides of a cue that are compressed with it; cues whose margins meet share a block.
 MARGIN = 200
+#: Characters from the first cue of a block to its last, at most.
+BLOCK = 2_000
 _CUE, _WORD = re.compile(CUES), re.compile(r"[^\W_]+")
 
 
@@ -91,28 +95,54 @@ def _alone() -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=3, write_content_size=False)
 
 
+def ranked(block: str) -> list[tuple[int, int, float]]:
+    """Every template by the bytes it saves of a block as dictionary, most first: (bytes, template, share of the block's)."""
+    data = block.encode()
+    alone = len(_alone().compress(data))
+    saved = [(alone - len(known.compress(data)), k) for k, (_, _, known) in enumerate(_templates())]
+    return [(n, k, round(n / alone, 4)) for n, k in sorted(saved, key=lambda x: (-x[0], x[1]))]
+
+
+def _blocks(at: list[tuple[int, int]], words: list[str]) -> list[list[int]]:
+    """The cue words (their places) of each candidate block."""
+    blocks: list[list[int]] = []
+    pieces = _pieces()
+    for i in (i for i, word in enumerate(words) if word in pieces):
+        if blocks and at[i][0] - at[blocks[-1][-1]][1] <= 2 * MARGIN and at[i][1] - at[blocks[-1][0]][0] <= BLOCK:
+            blocks[-1].append(i)
+        else:
+            blocks.append([i])
+    return blocks
+
+
+def _places(words: list[str], cues: list[int]) -> dict[int, set[int]]:
+    """By template: where it would start for one of its pieces to stand word for word at a cue."""
+    places: dict[int, set[int]] = {}
+    for i in cues:
+        for k, piece, start, anchor in _pieces()[words[i]]:
+            if words[max(i - anchor, 0) : i - anchor + len(piece)] == piece:
+                places.setdefault(k, set()).add(i - anchor - start)
+    return places
+
+
 def notices(text: str) -> list[tuple[int, int, str, float, int, int]]:
-    """Confirmed notices of a text: (first line, line after the last, license, share of bytes saved, words missing, words put in)."""
+    """Confirmed notices of a text: (first line, line after the last, license, share of its block's bytes saved, words missing, words put in)."""
     at = [m.span() for m in _WORD.finditer(text)]
     words = [text[a:b].lower() for a, b in at]
-    spans = set()
-    for i, word in enumerate(words):
-        for k, piece, start, anchor in _pieces().get(word, ()):
-            if words[max(i - anchor, 0) : i - anchor + len(piece)] == piece:
-                spans.add((k, i - anchor - start))
-    ranked = []
-    for k, start in spans:
-        name, wanted, known = _templates()[k]
-        edits = int(TOLERANCE * len(wanted))
-        first, last = max(start - edits, 0), max(start + len(wanted) + edits, 0)
-        block = words[first:last]
-        data = text[max(at[first][0] - MARGIN, 0) : at[min(last, len(at)) - 1][1] + MARGIN].encode()
-        alone, with_template = len(_alone().compress(data)), len(known.compress(data))
-        cost, missing, a, b = _difference(wanted, block)
-        if cost <= edits:
-            ranked.append((missing - len(wanted), cost, with_template - alone, name, (first + a, first + b), missing, round(1 - with_template / alone, 4)))
+    confirmed = []
+    for cues in _blocks(at, words):
+        order = ranked(text[max(at[cues[0]][0] - MARGIN, 0) : at[cues[-1]][1] + MARGIN])
+        places = _places(words, cues)
+        for n_saved, k, saved in order:
+            name, wanted, _ = _templates()[k]
+            edits = int(TOLERANCE * len(wanted))
+            for start in places.get(k, ()):
+                first, last = max(start - edits, 0), max(start + len(wanted) + edits, 0)
+                cost, missing, a, b = _difference(wanted, words[first:last])
+                if cost <= edits:
+                    confirmed.append((missing - len(wanted), cost, -n_saved, name, (first + a, first + b), missing, saved))
     taken: list[tuple] = []
-    for _, cost, _, name, span, missing, saved in sorted(ranked):
+    for _, cost, _, name, span, missing, saved in sorted(confirmed):
         if all(span[1] <= y[1][0] or span[0] >= y[1][1] for y in taken):
             taken.append(((name, saved, missing, cost - missing), span))
     taken.sort(key=lambda x: x[1])
@@ -174,7 +204,7 @@ _ROWS = pa.schema([("at", pa.int64()), ("first_line", pa.int64()), ("end_line",
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each license notice: ``id_col``, lines, ``license``, ``saved`` (share of bytes), ``n_missing``, ``n_inserted`` words."""
+    """One row for each license notice: ``id_col``, lines, ``license``, ``saved`` (share of its block's bytes), ``n_missing``, ``n_inserted`` words."""
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = dict(own.dtypes)["id"]
     rows = own.mapInArrow(by_batch(_scan), f"id {kind}, first_line long, end_line long, license string, saved double, n_missing long, n_inserted long")
