@@ -17,7 +17,7 @@ from umbra.errors import ShadowError, UnknownSchema, UnsupportedSql, is_unknown_
 from umbra.functions.dialect import to_spark, with_names
 from umbra.functions.types import lenient_sql
 from umbra.operators import mutations
-from umbra.plans import ddl, statements
+from umbra.plans import ddl, pairs, statements
 from umbra.plans.statements import QueryKind, classify, query_kind
 from umbra.plans.tokens import close_of, split_commas, split_statements, text_of, tick, tokenize
 from umbra.sources import fixtures
@@ -268,9 +268,15 @@ class ShadowSession:
     def _query(self, sql: str) -> DataFrame:
         if self.snapshot.tables and re.search(r"(?i)\brecursive\b", sql) and (fixed := self._fixpoint(sql)) is not None:
             return fixed
-        spark_sql = self._spark(with_names(_without_main(sql)))
+        named = with_names(_without_main(sql))
+        spark_sql = self._spark(named)
         if not self.snapshot.tables:
             return self.spark.sql(spark_sql)
+        if (counted := pairs.counted(named, self._columns)) is not None:
+            try:
+                return self._run(self._spark(counted))
+            except (AnalysisException, ParseException):  # the query as given says what is wrong
+                pass
         try:
             return self._run(spark_sql)
         except AnalysisException as e:
@@ -278,6 +284,10 @@ class ShadowSession:
                 return self._run(_any_value(spark_sql))
             raise
 
+    def _columns(self, table: str) -> T.StructType | None:
+        found = self.snapshot.find(table)
+        return found.df.schema if found is not None else None
+
     def _plan_select(self, sql: str, kind: QueryKind) -> Plan:
         return Plan(sql, kind, self._query(sql))
 
